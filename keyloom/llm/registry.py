@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from keyloom.llm.sharding import op9_two_pass_shuffle
+from keyloom.llm.simhash import op7_simhash
 
 QUERIES = {
+    "op7_simhash": op7_simhash,
     "op9_two_pass_shuffle": op9_two_pass_shuffle,
 }
 
