@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from keyloom.llm.packing import op10_best_fit
 from keyloom.llm.sharding import op9_two_pass_shuffle
 from keyloom.llm.simhash import op7_simhash
 
 QUERIES = {
+    "op10_best_fit": op10_best_fit,
     "op7_simhash": op7_simhash,
     "op9_two_pass_shuffle": op9_two_pass_shuffle,
 }
