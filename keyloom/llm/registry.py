@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from keyloom.llm.embedding_dedup import op2_sign_hashing
 from keyloom.llm.packing import op10_best_fit
 from keyloom.llm.sharding import op9_two_pass_shuffle
 from keyloom.llm.simhash import op7_simhash
+from keyloom.llm.url_filter import op6_ngram_logistic
 
 QUERIES = {
+    "op2_sign_hashing": op2_sign_hashing,
+    "op6_ngram_logistic": op6_ngram_logistic,
     "op10_best_fit": op10_best_fit,
     "op7_simhash": op7_simhash,
     "op9_two_pass_shuffle": op9_two_pass_shuffle,
