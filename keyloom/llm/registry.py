@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 from keyloom.llm.embedding_dedup import op2_sign_hashing
+from keyloom.llm.language_id import op5_bidirectional_gru
 from keyloom.llm.packing import op10_best_fit
+from keyloom.llm.quality import op1_ngram_logistic
 from keyloom.llm.sharding import op9_two_pass_shuffle
 from keyloom.llm.simhash import op7_simhash
 from keyloom.llm.url_filter import op6_ngram_logistic
 
 QUERIES = {
+    "op1_ngram_logistic": op1_ngram_logistic,
     "op2_sign_hashing": op2_sign_hashing,
+    "op5_bidirectional_gru": op5_bidirectional_gru,
     "op6_ngram_logistic": op6_ngram_logistic,
-    "op10_best_fit": op10_best_fit,
     "op7_simhash": op7_simhash,
     "op9_two_pass_shuffle": op9_two_pass_shuffle,
+    "op10_best_fit": op10_best_fit,
 }
 
 #: These operators follow learned models, hashes or permutations that SQL cannot
