@@ -34,6 +34,17 @@ PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
 IDS = ", ids array<int>"
 
 
+class Learned(dict):
+    """A dictionary that works out what it does not hold yet."""
+
+    def __init__(self, learn) -> None:
+        self.learn = learn
+
+    def __missing__(self, key: str) -> bytes:
+        value = self[key] = self.learn(key)
+        return value
+
+
 class WordEncoder:
     """Token ids of whole texts, word by word.
 
@@ -49,23 +60,24 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.words = Learned(self._word)
+        self.parts = Learned(self._part)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _part(self, part: str) -> bytes:
-        ids = self.parts.get(part)
-        if ids is None:
-            letters = part if part.isascii() else part.encode().decode("latin-1").translate(BYTE_LETTERS)
-            ids = self.parts[part] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(letters)])
-        return ids
+        letters = part if part.isascii() else part.encode().decode("latin-1").translate(BYTE_LETTERS)
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(letters)])
 
-    def _learn(self, word: str) -> bytes:
+    def _word(self, word: str) -> bytes:
         if word.isascii() or max(word) <= "\xff":
+            if word.isalpha():
+                return self.parts[word.lower()]
+            if word[-1] in ".,!" and word[:-1].isalpha():
+                return self.parts[word[:-1].lower()] + self.parts[word[-1]]
             if word.isprintable() and not any(t in word for t in self.special):
-                return b"".join(map(self._part, WORD_PARTS.findall(word.lower())))
+                return b"".join(map(self.parts.__getitem__, WORD_PARTS.findall(word.lower())))
         return self._whole(word)
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
@@ -74,18 +86,11 @@ class WordEncoder:
             if ODD.search(text):
                 yield self._whole(text)
                 continue
-            words, known, out = text.split(), self.words, []
-            for at in range(0, len(words), 50_000):
-                some = words[at : at + 50_000]
-                if len(known) > CACHED_WORDS:
-                    known.clear()
-                if len(self.parts) > CACHED_WORDS:
-                    self.parts.clear()
-                for word in {*some}:
-                    if word not in known:
-                        known[word] = self._learn(word)
-                out.append(b"".join(map(known.__getitem__, some)))
-            yield b"".join(out)
+            for cache in (self.words, self.parts):
+                if len(cache) > CACHED_WORDS:
+                    cache.clear()
+            words = text.split()
+            yield b"".join(map(self.words.__getitem__, words))
 
 
 _encoders: dict[str, WordEncoder] = {}
