@@ -5,6 +5,7 @@ from __future__ import annotations
 from keyloom.llm.embedding_dedup import op2_sign_hashing
 from keyloom.llm.language_id import op5_bidirectional_gru
 from keyloom.llm.packing import op10_best_fit
+from keyloom.llm.pii import op8_bootstrapped_contexts
 from keyloom.llm.quality import op1_ngram_logistic
 from keyloom.llm.sharding import op9_two_pass_shuffle
 from keyloom.llm.simhash import op7_simhash
@@ -16,6 +17,7 @@ QUERIES = {
     "op5_bidirectional_gru": op5_bidirectional_gru,
     "op6_ngram_logistic": op6_ngram_logistic,
     "op7_simhash": op7_simhash,
+    "op8_bootstrapped_contexts": op8_bootstrapped_contexts,
     "op9_two_pass_shuffle": op9_two_pass_shuffle,
     "op10_best_fit": op10_best_fit,
 }

@@ -183,6 +183,23 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return prints.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the rows whose group has a smaller id; columns as in docs.
+
+    Only the ids that go are joined to the texts, as an anti-join.  Equal rows (id and
+    text) count as one and one of them stays; a row without an id stays, as nothing
+    tells it from others.  An empty table stays empty.
+    """
+    thin = written(simhash_components(docs, id_col, text_col), "groups")
+    gone = written(thin.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct(), "gone")
+    rest = docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    again = written(thin.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(id_col)), "repeated")
+    if again.isEmpty():
+        return rest
+    once = rest.join(again, id_col, "left_semi").dropDuplicates([id_col, text_col])
+    return rest.join(again, id_col, "left_anti").unionByName(once)
+
+
 def hexadecimal(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
