@@ -3,12 +3,59 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from keyloom.llm import language_id, packing, pii, quality, simhash
+from keyloom.llm.common import documents, written
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents without a letter or without a likely language."""
+    found = language_id.identify(docs, language_id.train(docs))
+    sure = (F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= language_id.REJECT_BELOW)
+    return found.where(sure).select("record.*")
+
+
+def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that the quality rules or the quality model reject."""
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.judge_quality(docs, model).where("kept").select("record.*")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the smallest id of each SimHash group."""
+    return simhash.keep_one(docs)
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Put each span's kind in its place; n_chars follows the text."""
+    found = pii.personal_spans(docs)
+    text = F.when(F.col("record.text").isNotNull(), pii.masked(F.col("record.text"), F.col("spans")))
+    changed = found.select("record", text.alias("masked"))
+    own = {"text": F.col("masked"), "n_chars": F.length("masked").cast("long")}
+    return changed.select(*[own.get(c, F.col(f"record.`{c}`")).alias(c) for c in docs.columns])
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack the texts' tokens into sequences of 2048."""
+    return packing.pack_documents(docs, keep_ids=False).withColumn("length", F.col("length").cast("long"))
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("quality_rules", filter_quality),
+    ("simhash_near_dedup", drop_near_duplicates),
+    ("pii", mask_personal_data),
+    ("best_fit_packing", pack_sequences),
+]
 
 #: Learned models decide in the first two stages, so no SQL restates the result.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Every stage in turn over documents; what a stage keeps is written before the next."""
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
