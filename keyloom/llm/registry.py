@@ -5,6 +5,7 @@ from __future__ import annotations
 from keyloom.llm.embedding_dedup import op2_sign_hashing
 from keyloom.llm.language_id import op5_bidirectional_gru
 from keyloom.llm.packing import op10_best_fit
+from keyloom.llm.piece_sampling import op3_gumbel_top_k
 from keyloom.llm.pii import op8_bootstrapped_contexts
 from keyloom.llm.quality import op1_ngram_logistic
 from keyloom.llm.sharding import op9_two_pass_shuffle
@@ -14,6 +15,7 @@ from keyloom.llm.url_filter import op6_ngram_logistic
 QUERIES = {
     "op1_ngram_logistic": op1_ngram_logistic,
     "op2_sign_hashing": op2_sign_hashing,
+    "op3_gumbel_top_k": op3_gumbel_top_k,
     "op5_bidirectional_gru": op5_bidirectional_gru,
     "op6_ngram_logistic": op6_ngram_logistic,
     "op7_simhash": op7_simhash,
