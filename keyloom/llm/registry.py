@@ -10,12 +10,14 @@ from keyloom.llm.pii import op8_bootstrapped_contexts
 from keyloom.llm.quality import op1_ngram_logistic
 from keyloom.llm.sharding import op9_two_pass_shuffle
 from keyloom.llm.simhash import op7_simhash
+from keyloom.llm.token_shards import op4_feistel_order
 from keyloom.llm.url_filter import op6_ngram_logistic
 
 QUERIES = {
     "op1_ngram_logistic": op1_ngram_logistic,
     "op2_sign_hashing": op2_sign_hashing,
     "op3_gumbel_top_k": op3_gumbel_top_k,
+    "op4_feistel_order": op4_feistel_order,
     "op5_bidirectional_gru": op5_bidirectional_gru,
     "op6_ngram_logistic": op6_ngram_logistic,
     "op7_simhash": op7_simhash,
