@@ -102,32 +102,39 @@ class Pieces:
 
 
 class Lattices:
-    """Arcs of all distinct chunks: at row base[chunk] + position, by arc length - 1."""
+    """Arcs of all distinct chunks: at row base[chunk] + position, by arc length - 1.
+
+    Chunks of one length stand together, so that they are filled in place.
+    """
 
     def __init__(self, pieces: Pieces, chunks: list[str]) -> None:
         self.length = np.fromiter(map(len, chunks), np.int64, len(chunks))
-        self.base = np.concatenate(([0], np.cumsum(self.length)))
-        rows, most = int(self.base[-1]), pieces.most
+        order = np.argsort(self.length, kind="stable")
+        sizes = self.length[order]
+        ends = np.cumsum(sizes)
+        rows, most = int(ends[-1]) if len(ends) else 0, pieces.most
+        self.base = np.empty(len(chunks), np.int64)
+        self.base[order] = ends - sizes
+        self.codes = np.frombuffer("".join([chunks[k] for k in order.tolist()]).encode("utf-32-le", "surrogatepass"), np.uint32)
         self.cumulative = np.ones((rows, most), np.float32)
         self.log_p = np.full((rows, most), -np.inf, np.float32)
         self.piece = np.full((rows, most), -1, np.int32)
-        codes = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32)
-        self.codes = codes
-        for n in np.unique(self.length).tolist():
-            which = np.flatnonzero(self.length == n)
-            at = self.base[which][:, None] + np.arange(n)
-            self._fill(pieces, codes[at].astype(np.uint64), at)
-
-    def _fill(self, pieces: Pieces, codes: np.ndarray, at: np.ndarray) -> None:
-        m, n = codes.shape
+        at = 0
+        for n, m in zip(*np.unique(sizes, return_counts=True)):
+            end = at + int(n) * int(m)
+            self._fill(pieces, int(m), int(n), at, end)
+            at = end
+        self.sole = (self.piece != -1).sum(axis=1) == 1  # rows without a choice
+
+    def _fill(self, pieces: Pieces, m: int, n: int, at: int, end: int) -> None:
         most = min(pieces.most, n)
-        weight = np.full((m, n, most), -np.inf, np.float32)
-        ids = np.full((m, n, most), -1, np.int32)
+        codes = self.codes[at:end].reshape(m, n).astype(np.uint64)
+        weight, ids, cumulative = (x[at:end].reshape(m, n, -1) for x in (self.log_p, self.piece, self.cumulative))
         h = np.zeros((m, n), np.uint64)
         for k in range(most):
             h = h[:, : n - k] * U64(0x100000001B3) + codes[:, k:] + U64(7)
-            at_, found = pieces.find(h.ravel())
-            row, col = at_ // (n - k), at_ % (n - k)
+            places, found = pieces.find(h.ravel())
+            row, col = np.divmod(places, n - k)
             ids[row, col, k] = found
             weight[row, col, k] = pieces.weight[found]
         lone = ids[:, :, 0] < 0  # no piece has this character: its bytes stand for it
@@ -142,15 +149,15 @@ class Lattices:
             t = weight[:, i, :k] + rest[:, i + 1 : i + 1 + k]
             top = t.max(axis=1, keepdims=True)
             t -= top
-            p = np.exp(t)
-            c = np.cumsum(p, axis=1)
+            c = np.cumsum(np.exp(t), axis=1)
             total = c[:, -1:].copy()
             c /= total
-            t -= np.log(total)
-            rest[:, i] = top[:, 0] + np.log(total[:, 0])
-            self.log_p[at[:, i], :k] = t
-            self.cumulative[at[:, i], :k] = np.where(c >= 1 - 1e-7, 1.0, c)
-        self.piece[at, :most] = ids
+            np.log(total, out=total)
+            rest[:, i] = top[:, 0] + total[:, 0]
+            t -= total
+            weight[:, i, :k] = t
+            c[c >= 1 - 1e-7] = 1
+            cumulative[:, i, :k] = c
 
 
 class Path:
@@ -160,7 +167,7 @@ class Path:
         self.row, self.arc, self.log_p, self.chunk = row, arc, log_p, chunk
 
 
-def _draw(lattices: Lattices, uids: np.ndarray, start: np.ndarray, keys: np.ndarray, chunk: np.ndarray, turn: int):
+def _draw(lattices: Lattices, uids: np.ndarray, start: np.ndarray, seeds: np.ndarray):
     """Finish every chunk from its start by drawn arcs, all chunks a step at a time.
 
     Returns (occurrence, row, arc, log_p) sorted by occurrence, then step.
@@ -172,8 +179,8 @@ def _draw(lattices: Lattices, uids: np.ndarray, start: np.ndarray, keys: np.ndar
     step = 0
     while len(live):
         row = base[live] + pos[live]
-        u = _uniform(keys[live], U64(turn), chunk[live], U64(step))
-        arc = (u.astype(np.float32)[:, None] >= lattices.cumulative[row]).sum(axis=1)
+        u = _uniform(seeds[live], U64(step)).astype(np.float32)
+        arc = np.bitwise_count((u[:, None] >= lattices.cumulative[row]).view(np.uint64)).sum(axis=1, dtype=np.int64)
         np.minimum(arc, lattices.cumulative.shape[1] - 1, out=arc)
         who.append(live)
         rows.append(row)
@@ -288,8 +295,10 @@ class Sampler:
                 start[firsts[j]] = row - lattices.base[flat[firsts[j]]]
         job = np.repeat(np.arange(len(jobs)), sizes)
         chunk = np.arange(len(flat)) - firsts[job] + np.array([c for _, c, _, _, _ in jobs], np.int64)[job]
-        key = np.array([keys[d] for d, *_ in jobs], np.uint64)[job]
-        who, row, arc, log_p = _draw(lattices, flat, start, key, chunk, turn)
+        own_key = np.array([keys[d] for d, *_ in jobs], np.uint64)
+        with np.errstate(over="ignore"):
+            seeds = _mix(_mix(own_key + U64(turn + 1))[job] + chunk.astype(np.uint64) * U64(0xD1B54A32D192ED03))
+        who, row, arc, log_p = _draw(lattices, flat, start, seeds)
         cuts = np.searchsorted(job[who], np.arange(len(jobs) + 1)) if len(who) else np.zeros(len(jobs) + 1, np.int64)
         # values of the siblings, below the value of the way itself
         prefix = np.cumsum(log_p) - log_p
@@ -299,10 +308,15 @@ class Sampler:
         if len(who):
             opened = prefix[np.minimum(cuts[:-1], len(who) - 1)]
             aside = -np.expm1(log_p)
-            aside[aside < 1e-6] = 0  # what rounding leaves of a sole arc
+            small = np.flatnonzero(aside < 1e-3)  # where rounding shows, the others are added up
+            if len(small):
+                others = np.exp(lattices.log_p[row[small]])
+                others[np.arange(len(small)), arc[small]] = 0
+                aside[small] = others.sum(axis=1)
+            aside[lattices.sole[row]] = 0
             with np.errstate(divide="ignore"):
                 location = prefix - opened[part] + heads[part] + np.log(aside)
-            u = _uniform(key[who], U64(turn), np.arange(len(who)) - cuts[part], U64(1 << 43))
+            u = _uniform(_mix(own_key ^ U64(turn + (1 << 43)))[part], np.arange(len(who)) - cuts[part])
             values = _below(location, tops[part], u)
         for j, (d, _, _, head, top) in enumerate(jobs):
             s, e = int(cuts[j]), int(cuts[j + 1])
