@@ -7,10 +7,11 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import tiktoken
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -21,7 +22,7 @@ END_ID = 50256
 LENGTH = 1024  # tokens of a sequence
 STRIDE = 4 + 2 * LENGTH  # a record: used tokens as an unsigned 32-bit number, then 16-bit ids
 PER_SHARD = 4096
-PER_BLOCK = 512  # records of a row of a shard
+PER_BLOCK = 256  # records of a row of a shard
 KEY = 0x5EED_0F_0EDE
 ROUNDS = 6
 
@@ -50,7 +51,7 @@ def _records(path: str, length: int, end_id: int):
                     own = ids[at : at + length]
                     body = own if len(own) == length else np.pad(own, (0, length - len(own)), constant_values=end_id)
                     rows.append((doc_id, part, len(own), len(own).to_bytes(4, "little") + body.tobytes()))
-                if len(rows) >= 4096:
+                if len(rows) >= 1024:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
                     rows = []
             if rows:
@@ -83,15 +84,14 @@ def permuted(index: np.ndarray, n: int, key: int = KEY, rounds: int = ROUNDS) ->
     return out.astype(np.int64)
 
 
-def _slots(n: int, key: int):
-    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.names.index("index")
-            with np.errstate(over="ignore"):
-                slot = permuted(np.asarray(batch.column("index")), n, key)
-            yield batch.set_column(at, "slot", pa.array(slot))
+def slot_of(index: Column, n: int, key: int = KEY) -> Column:
+    """permuted() of a column; only the index goes to Python, whatever else the rows hold."""
+
+    def slots(index: pd.Series) -> pd.Series:
+        with np.errstate(over="ignore"):
+            return pd.Series(permuted(index.to_numpy(), n, key))
 
-    return slots
+    return F.pandas_udf(slots, "long")(index)
 
 
 def numbered(table: DataFrame) -> tuple[DataFrame, int]:
@@ -146,8 +146,7 @@ def training_order(docs: DataFrame, ranks: str = RANKS, length: int = LENGTH, en
     thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     table = written(thin.mapInArrow(_records(ranks, length, end_id), "doc_id long, part int, n_tokens int, record binary"), "sequences")
     rows, n = numbered(table)
-    schema = "doc_id long, part int, n_tokens int, record binary, slot long"
-    return rows.select("doc_id", "part", "n_tokens", "record", F.col("index").cast("long").alias("index")).mapInArrow(_slots(n, key), schema)
+    return rows.select("doc_id", "part", "n_tokens", "record", slot_of(F.col("index").cast("long"), n, key).alias("slot"))
 
 
 def shard_blocks(ordered: DataFrame, per_shard: int = PER_SHARD, per_block: int = PER_BLOCK) -> DataFrame:
@@ -208,7 +207,6 @@ def _digests(per_shard: int, stride: int):
 def op4_feistel_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every sequence of every document: its slot, and what its shard holds there."""
     ordered = training_order(documents(spark, sf_dir))
-    blocks = written(shard_blocks(ordered), "shards")
-    found = blocks.select("first_slot", "payload").mapInArrow(_digests(PER_SHARD, STRIDE), "slot long, shard long, byte_offset long, n_tokens int, record_crc32 long")
+    found = shard_blocks(ordered).select("first_slot", "payload").mapInArrow(_digests(PER_SHARD, STRIDE), "slot long, shard long, byte_offset long, n_tokens int, record_crc32 long")
     owners = ordered.select("doc_id", "part", "slot")
     return found.join(owners, "slot").select("doc_id", "part", "n_tokens", "slot", "shard", "byte_offset", "record_crc32")
