@@ -178,7 +178,7 @@ def embedding_components(df: DataFrame, id_col: str = "vec_id", vector_col: str
     of_class = classes.select("class", "least", "weight").join(groups, F.col("class") == F.col("node"), "left").join(links, "class", "left")
     of_class = of_class.select("class", "least", F.coalesce("component", "class").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     of_class = written(of_class, "classes")
-    named = of_class.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = written(of_class.groupBy("component").agg(F.min("least").alias("component_id")), "least")
     labels = written(of_class.join(named, "component").select("class", "n_links", "component_id"), "labels")
     rows = keyed.select("vec_id", "class").join(labels, "class").select("vec_id", "n_links", "component_id")
     rows = rows.union(alone.select("vec_id", F.lit(0).cast("long"), "vec_id"))

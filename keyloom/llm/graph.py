@@ -38,5 +38,6 @@ def connected_components(links: DataFrame) -> DataFrame:
         relabelled = written(labels.join(move, "rep", "left").select("node", F.coalesce("to", "rep").alias("rep")), "labels")
         discard(edges, labels, hooks)
         edges, labels, turn = contracted, relabelled, turn + 1
-    smallest = labels.groupBy("rep").agg(F.min("node").alias("component"))
+    # written, so that a large component's rows can be split among tasks in the join
+    smallest = written(labels.groupBy("rep").agg(F.min("node").alias("component")), "smallest")
     return labels.join(smallest, "rep").select("node", "component")

@@ -178,6 +178,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     linkable = nodes.select(F.col("fp").alias("id"), "fp")
     groups = written(connected_components(near_fingerprints(linkable, max_bits)), "components")
     named = groups.join(nodes, groups["node"] == nodes["fp"]).groupBy("component").agg(F.min("id").alias("least"))
+    named = written(named, "least")  # so that a large component's rows can be split among tasks in the join
     of_code = nodes.join(groups, nodes["fp"] == groups["node"], "left").join(named, "component", "left")
     labels = written(of_code.select("fp", F.coalesce("least", "id").alias("component_id")), "labels")
     return prints.join(labels, "fp").select("doc_id", "fp", "component_id")
