@@ -12,6 +12,7 @@ SEED = 20_240_601
 BUCKET_BYTES = 16 << 20
 MIN_BUCKETS = 256
 SHARDS = 16
+MOST_BROADCAST = 1 << 20  # buckets, 16 bytes each
 
 
 def record_bytes(text: Column) -> Column:
@@ -54,12 +55,14 @@ def shard_rows(df: DataFrame, size: Column, key: list[str], shards: int = SHARDS
     the count of each bucket (one row a bucket) is put in order globally.
     """
     mixed = external_shuffle(df, size, key, seed)
-    counts = mixed.groupBy("bucket").count()
+    counts = written(mixed.groupBy("bucket").count(), "buckets")
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
     rows = mixed.count()
     base, more = divmod(rows, shards)
     cut = more * (base + 1)  # the first `more` shards hold one row more
+    # a row a bucket: few enough to send to every task up to a size, else joined by bucket
+    starts = F.broadcast(starts) if counts.count() <= MOST_BROADCAST else starts
     place = mixed.join(starts, "bucket").select("record", (F.col("start") + F.col("pos")).alias("p"))
     if base:
         shard = F.when(F.col("p") < cut, F.expr(f"p div {base + 1}")).otherwise(F.expr(f"(p - {cut}) div {base}") + more)
