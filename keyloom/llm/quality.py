@@ -110,15 +110,16 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 def _descend(x: np.ndarray, y: np.ndarray, decay: float, steps: int, rate: float) -> tuple[np.ndarray, float]:
     """Logistic regression by full-batch descent with momentum, classes weighted evenly."""
-    share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y <= 0).sum()))
-    w, b = np.zeros(x.shape[1]), 0.0
+    share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y <= 0).sum())).astype(np.float32)
+    x, y = np.ascontiguousarray(x, np.float32), y.astype(np.float32)
+    w, b = np.zeros(x.shape[1], np.float32), np.float32(0)
     vw, vb = np.zeros_like(w), 0.0
     for _ in range(steps):
         error = (_sigmoid(x @ w + b) - y) * share
-        vw = 0.9 * vw - rate * (error @ x + decay * w)
-        vb = 0.9 * vb - rate * error.sum()
-        w, b = w + vw, b + vb
-    return w, b
+        vw = np.float32(0.9) * vw - np.float32(rate) * (error @ x + np.float32(decay) * w)
+        vb = 0.9 * vb - rate * float(error.sum())
+        w, b = w + vw, np.float32(b + vb)
+    return w, float(b)
 
 
 def fit(grams: np.ndarray, good: np.ndarray, held: np.ndarray) -> Model:
