@@ -25,6 +25,7 @@ CHUNKS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 U64 = np.uint64
 TO_UNIT = float(2.0**-53)
+BELOW_ONE = np.float32(1 - 2.0**-24)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -179,7 +180,7 @@ def _draw(lattices: Lattices, uids: np.ndarray, start: np.ndarray, seeds: np.nda
     step = 0
     while len(live):
         row = base[live] + pos[live]
-        u = _uniform(seeds[live], U64(step)).astype(np.float32)
+        u = np.minimum(_uniform(seeds[live], U64(step)).astype(np.float32), BELOW_ONE)
         arc = np.bitwise_count((u[:, None] >= lattices.cumulative[row]).view(np.uint64)).sum(axis=1, dtype=np.int64)
         np.minimum(arc, lattices.cumulative.shape[1] - 1, out=arc)
         who.append(live)
