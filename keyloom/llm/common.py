@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,5 +49,10 @@ def discard(*tables: DataFrame | None) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def record_schema(rows: DataFrame, more: str) -> StructType:
+    """The schema of rows' record column with further columns after it, whatever names record holds."""
+    return StructType([rows.schema["record"], *StructType.fromDDL(more).fields])
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

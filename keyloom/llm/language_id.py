@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import documents
+from keyloom.llm.common import documents, record_schema
 
 HIDDEN = 8
 SEGMENT = 128  # bytes over which the network's state runs before it starts anew
@@ -234,8 +234,7 @@ def identify(docs: DataFrame, network: Network | None, carry: list[str] | None =
     columns = docs.columns if carry is None else carry
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("record"), letters, F.col("text").cast("binary").alias("data"))
-    record = rows.schema["record"].dataType.simpleString()
-    return rows.mapInArrow(_label(network), f"record {record}, lang_pred string, score double")
+    return rows.mapInArrow(_label(network), record_schema(rows, "lang_pred string, score double"))
 
 
 def op5_bidirectional_gru(spark: SparkSession, sf_dir: str) -> DataFrame:

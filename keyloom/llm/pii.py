@@ -30,7 +30,33 @@ MIN_PATTERN = 0.8
 OPEN_WEIGHT = 0.5  # what a candidate of no known kind counts against a pattern
 MIN_INSTANCE = 0.85
 
-SPAN = "array<struct<start:int,end:int,value:string>>"
+
+BLOCK = 64
+
+
+def scan(array: Column, first: Column, step, kind: str) -> Column:
+    """What step(state, x) -> (state, y) gives for each x in turn, as an array of kind.
+
+    Spark has no running fold of arrays, and appending one by one copies what is there
+    each time; so a block's results are appended to each other, then blocks to blocks.
+    """
+
+    def one(so_far: Column, x: Column) -> Column:
+        state, y = step(so_far["state"], x)
+        return F.struct(state.alias("state"), F.concat(so_far["out"], F.array(y)).cast(f"array<{kind}>").alias("out"))
+
+    def block(so_far: Column, part: Column) -> Column:
+        inner = F.aggregate(part, F.struct(so_far["state"].alias("state"), F.array().cast(f"array<{kind}>").alias("out")), one)
+        both = lambda r: F.struct(r["state"].alias("state"), F.concat(so_far["out"], F.array(r["out"])).cast(f"array<array<{kind}>>").alias("out"))
+        return F.transform(F.array(inner), both)[0]
+
+    def whole(x: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(x), F.lit(BLOCK))
+        blocks = F.transform(starts, lambda at: F.slice(x, at, F.lit(BLOCK)))
+        none = F.struct(first.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+        return F.when(F.size(x) > 0, F.aggregate(blocks, none, block, lambda r: F.flatten(r["out"]))).otherwise(F.array().cast(f"array<{kind}>"))
+
+    return F.transform(F.array(array), whole)[0]  # the array is made once
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -41,14 +67,33 @@ def matches(text: Column, pattern: str) -> Column:
     parts = F.arrays_zip(F.split(text, pattern, -1).alias("before"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
     parts = F.filter(parts, lambda p: p["hit"].isNotNull())
 
-    def walk(so_far: Column, part: Column) -> Column:
-        start = so_far["at"] + F.length(part["before"])
+    def step(at: Column, part: Column) -> tuple[Column, Column]:
+        start = at + F.length(part["before"])
         end = start + F.length(part["hit"])
-        span = F.struct(start.alias("start"), end.alias("end"), part["hit"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(so_far["spans"], F.array(span)).cast(SPAN).alias("spans"))
+        return end, F.struct(start.alias("start"), end.alias("end"), part["hit"].alias("value"))
+
+    return scan(parts, F.lit(0), step, "struct<start:int,end:int,value:string>")
+
+
+def apart(spans: Column, others: Column) -> Column:
+    """Those of spans (start, end, value) that overlap none of the others, by two walks in order."""
+    kind = "struct<start:int,own:boolean,end:int,value:string,hit:boolean>"
+
+    def typed(x: Column, own: bool) -> Column:
+        return F.transform(x, lambda s: F.struct(s["start"].alias("start"), F.lit(own).alias("own"), s["end"].alias("end"), s["value"].alias("value"), F.lit(False).alias("hit")))
 
-    first = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
-    return F.aggregate(parts, first, walk, lambda so_far: so_far["spans"])
+    def mark(s: Column, hit: Column) -> Column:
+        return F.struct(s["start"].alias("start"), s["own"].alias("own"), s["end"].alias("end"), s["value"].alias("value"), (s["hit"] | (s["own"] & hit)).alias("hit"))
+
+    def ahead(reach: Column, s: Column) -> tuple[Column, Column]:
+        return F.when(s["own"], reach).otherwise(F.greatest(reach, s["end"])), mark(s, s["start"] < reach)
+
+    def back(next_: Column, s: Column) -> tuple[Column, Column]:
+        return F.when(s["own"], next_).otherwise(F.least(next_, s["start"])), mark(s, s["end"] > next_)
+
+    in_order = F.sort_array(F.concat(typed(others, False), typed(spans, True)))
+    once = F.reverse(scan(in_order, F.lit(0), ahead, kind))
+    return F.filter(scan(once, F.lit((1 << 31) - 1), back, kind), lambda s: s["own"] & ~s["hit"])
 
 
 def luhn(digits: Column) -> Column:
@@ -98,10 +143,25 @@ def base_spans(text: Column) -> Column:
     return F.coalesce(some, F.array().cast("array<struct<kind:int,start:int,end:int,value:string>>"))
 
 
-def _contexts(text: Column, start: Column, end: Column) -> Column:
+PIECE = 1000
+
+
+def in_pieces(text: Column, use) -> Column:
+    """use(pieces), pieces being text cut every PIECE characters: a place is found without a walk from the start."""
+    return F.transform(F.array(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))), use)[0]
+
+
+def cut(pieces: Column, start: Column, end: Column) -> Column:
+    """Characters start to end of the text in pieces, at the cost of what is cut."""
+    first = F.floor(start / PIECE).cast("int")
+    held = F.array_join(F.slice(pieces, first + 1, F.greatest(F.ceil(end / PIECE).cast("int") - first, F.lit(0))), "")
+    return F.when(end > start, F.substring(held, start - first * PIECE + 1, end - start)).otherwise("")
+
+
+def _contexts(pieces: Column, start: Column, end: Column) -> Column:
     """Lexical patterns around a span: the two words before it; the word on either side."""
-    left = F.lower(F.substring(text, F.greatest(start - LEFT, F.lit(0)) + 1, F.least(start, F.lit(LEFT))))
-    right = F.lower(F.substring(text, end + 1, F.lit(RIGHT)))
+    left = F.lower(cut(pieces, F.greatest(start - LEFT, F.lit(0)), start))
+    right = F.lower(cut(pieces, end, end + RIGHT))
     two = F.regexp_extract(left, r"(\S+)\s+(\S+)\s*$", 0)
     one = F.regexp_extract(left, r"(\S+)\s*$", 1)
     after = F.regexp_extract(right, r"^\S*\s+(\S+)", 1)
@@ -113,9 +173,13 @@ OCCURRENCE = "array<struct<kind:int,start:int,end:int,value:string,patterns:arra
 
 def occurrences(text: Column, base: Column) -> Column:
     """Base spans and the candidates that touch none (kind null), each with its contexts."""
-    kind, free = F.lit(None).cast("int"), F.filter(matches(text, CANDIDATE), lambda c: ~F.exists(base, lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"])))
-    every = F.transform(F.concat(base, _of_kind(free, kind)), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), _contexts(text, s["start"], s["end"]).alias("patterns")))
-    return F.when(text.rlike("[0-9@]"), every.cast(OCCURRENCE)).otherwise(F.array().cast(OCCURRENCE))
+    kind, free = F.lit(None).cast("int"), apart(matches(text, CANDIDATE), base)
+    both = F.concat(base, _of_kind(free, kind))
+
+    def placed(pieces: Column) -> Column:
+        return F.transform(both, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), _contexts(pieces, s["start"], s["end"]).alias("patterns")))
+
+    return F.when(text.rlike("[0-9@]"), in_pieces(text, placed).cast(OCCURRENCE)).otherwise(F.array().cast(OCCURRENCE))
 
 
 def bootstrap(edges: DataFrame, rounds: int = ROUNDS, min_seeds: float = MIN_SEEDS, min_pattern: float = MIN_PATTERN, min_instance: float = MIN_INSTANCE) -> DataFrame:
@@ -188,15 +252,15 @@ def masked(text: Column, spans: Column) -> Column:
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     in_order = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
 
-    def walk(so_far: Column, s: Column) -> Column:
-        apart = s["start"] >= so_far["at"]
-        between = F.substring(text, so_far["at"] + 1, s["start"] - so_far["at"])
-        out = F.when(apart, F.concat(so_far["out"], between, F.get(names, s["kind"]))).otherwise(so_far["out"])
-        return F.struct(F.greatest(so_far["at"], s["end"]).alias("at"), out.alias("out"))
+    def whole(pieces: Column) -> Column:
+        def step(at: Column, s: Column) -> tuple[Column, Column]:
+            kept = F.concat(cut(pieces, at, s["start"]), F.get(names, s["kind"]))
+            return F.greatest(at, s["end"]), F.when(s["start"] >= at, kept).otherwise("")
+
+        last = F.array_max(F.transform(spans, lambda s: s["end"]))
+        return F.concat(F.array_join(scan(in_order, F.lit(0), step, "string"), ""), cut(pieces, last, F.length(text)))
 
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    whole = F.aggregate(in_order, first, walk, lambda so_far: F.concat(so_far["out"], F.substring(text, so_far["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, whole).otherwise(text)
+    return F.when(F.size(spans) > 0, in_pieces(text, whole)).otherwise(text)
 
 
 def op8_bootstrapped_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:

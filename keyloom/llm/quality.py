@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import documents
+from keyloom.llm.common import documents, record_schema
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
@@ -198,9 +198,8 @@ def judge_quality(docs: DataFrame, model: Model, keep_at: float = KEEP_AT, carry
     """
     columns = docs.columns if carry is None else carry
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("record"), F.col("text").cast("binary").alias("data"))
-    record = rows.schema["record"].dataType.simpleString()
     kinds = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, probability double"
-    return rows.mapInArrow(_score(model, keep_at), f"record {record}, {kinds}")
+    return rows.mapInArrow(_score(model, keep_at), record_schema(rows, kinds))
 
 
 def op1_ngram_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
