@@ -19,12 +19,16 @@ from keyloom.llm.common import documents
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 SAMPLES = 2
 SEED = 29
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 3 << 19
 SPACE = "▁"
 CHUNKS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 U64 = np.uint64
 TO_UNIT = float(2.0**-53)
+#: No draw of a double adds more than NOISE to its location; nodes FAR below the first are
+#: looked at only where that could matter.
+NOISE, FAR = 42.0, 100.0
+DRAWN = 1 << 14  # draws whose rows are held at once
 BELOW_ONE = np.float32(1 - 2.0**-24)
 
 
@@ -77,6 +81,9 @@ class Pieces:
             self.written[k] = t.replace(SPACE, " ").encode()
         for b, k in enumerate(self.bytes_):
             self.written[k] = bytes([b])
+        self.sizes = np.fromiter(map(len, self.written), np.int64, n)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.letters = np.frombuffer(b"".join(self.written), np.uint8)
 
     @staticmethod
     def hash_of(text: str) -> int:
@@ -96,9 +103,14 @@ class Pieces:
         hit = self.hashes[near] == hashes[at]
         return at[hit], self.ids[near[hit]]
 
-    def decode(self, ids: list[int]) -> bytes:
+    def decode(self, ids) -> bytes:
         """UTF-8 bytes of the text that was encoded; the leading space was added."""
-        out = b"".join(map(self.written.__getitem__, ids))
+        ids = np.asarray(ids, np.int64)
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        if not len(ends):
+            return b""
+        out = self.letters[np.repeat(self.starts[ids] - ends + sizes, sizes) + np.arange(ends[-1])].tobytes()
         return out[1:] if out[:1] == b" " else out
 
 
@@ -181,7 +193,11 @@ def _draw(lattices: Lattices, uids: np.ndarray, start: np.ndarray, seeds: np.nda
     while len(live):
         row = base[live] + pos[live]
         u = np.minimum(_uniform(seeds[live], U64(step)).astype(np.float32), BELOW_ONE)
-        arc = np.bitwise_count((u[:, None] >= lattices.cumulative[row]).view(np.uint64)).sum(axis=1, dtype=np.int64)
+        arc = np.empty(len(live), np.int64)
+        for at in range(0, len(live), DRAWN):
+            below = u[at : at + DRAWN, None] >= lattices.cumulative.take(row[at : at + DRAWN], axis=0)
+            count = np.bitwise_count(below.view(np.uint64))
+            np.add(count[:, 0], count[:, 1], out=arc[at : at + DRAWN])
         np.minimum(arc, lattices.cumulative.shape[1] - 1, out=arc)
         who.append(live)
         rows.append(row)
@@ -192,10 +208,15 @@ def _draw(lattices: Lattices, uids: np.ndarray, start: np.ndarray, seeds: np.nda
     if not who:
         none = np.zeros(0, np.int64)
         return none, none, none, none.astype(float)
+    steps = [len(w) for w in who]
+    step_of = np.repeat(np.arange(len(steps)), steps)
     who, rows, arcs = np.concatenate(who), np.concatenate(rows), np.concatenate(arcs)
-    order = np.argsort(who, kind="stable")
-    who, rows, arcs = who[order], rows[order], arcs[order]
-    return who, rows, arcs, lattices.log_p[rows, arcs].astype(np.float64)
+    counts = np.bincount(who, minlength=len(uids))
+    place = (np.cumsum(counts) - counts)[who] + step_of
+    sorted_ = np.empty((2, len(who)), np.int64)
+    sorted_[0, place], sorted_[1, place] = rows, arcs
+    log_p = lattices.log_p.ravel().take(sorted_[0] * lattices.log_p.shape[1] + sorted_[1]).astype(np.float64)
+    return np.repeat(np.arange(len(uids)), counts), sorted_[0], sorted_[1], log_p
 
 
 class Numbers(dict):
@@ -212,13 +233,13 @@ class Sampler:
     def __init__(self, path: str) -> None:
         self.pieces = Pieces(path)
 
-    def chunks(self, text: str) -> list[str]:
-        """The text's parts that no piece crosses: spaces, then what is none."""
+    def words(self, text: str) -> list[str]:
+        """The text's parts that no piece crosses (spaces, then what is none), less their first space."""
         if not text:
             return []
         if "  " in text or SPACE in text or text[-1] == " " or text[0] == " ":
-            return CHUNKS.findall(SPACE + text.replace(" ", SPACE))
-        return [SPACE + w for w in text.split(" ")]
+            return [c[1:] for c in CHUNKS.findall(SPACE + text.replace(" ", SPACE))]
+        return text.split(" ")
 
     def sample(self, texts: list[str], keys: np.ndarray, k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
         """For each text up to k (ids, log-probability, perturbed value, log of inclusion).
@@ -231,9 +252,9 @@ class Sampler:
         number = Numbers()
         uids = []
         for text in texts:
-            parts = self.chunks(text)
+            parts = self.words(text)
             uids.append(np.fromiter(map(number.__getitem__, parts), np.int64, len(parts)))
-        lattices = Lattices(self.pieces, list(number))
+        lattices = Lattices(self.pieces, [SPACE + w for w in number])
         found: list[list] = [[] for _ in texts]
         queues: list[list] = [[] for _ in texts]
         tops = -np.log(-np.log(_uniform(keys, U64(1 << 40))))
@@ -306,19 +327,19 @@ class Sampler:
         heads = np.array([0.0 if h is None else h.log_p.sum() for *_, h, _ in jobs])
         tops = np.array([t for *_, t in jobs])
         part = job[who]
+        near = values = np.zeros(0)
         if len(who):
-            opened = prefix[np.minimum(cuts[:-1], len(who) - 1)]
-            aside = -np.expm1(log_p)
-            small = np.flatnonzero(aside < 1e-3)  # where rounding shows, the others are added up
-            if len(small):
-                others = np.exp(lattices.log_p[row[small]])
-                others[np.arange(len(small)), arc[small]] = 0
-                aside[small] = others.sum(axis=1)
-            aside[lattices.sole[row]] = 0
-            with np.errstate(divide="ignore"):
-                location = prefix - opened[part] + heads[part] + np.log(aside)
-            u = _uniform(_mix(own_key ^ U64(turn + (1 << 43)))[part], np.arange(len(who)) - cuts[part])
-            values = _below(location, tops[part], u)
+            level = prefix - prefix[np.minimum(cuts[:-1], len(who) - 1)][part]
+            near = np.flatnonzero(level >= -FAR)
+            location = self._locations(lattices, row[near], arc[near], log_p[near]) + level[near]
+            # a draw adds at most NOISE: enough greater ones make what is far away irrelevant
+            enough = np.bincount(part[near], location >= NOISE - FAR, len(jobs)) >= k
+            if not enough.all():
+                near = np.flatnonzero((level >= -FAR) | ~enough[part])
+                location = self._locations(lattices, row[near], arc[near], log_p[near]) + level[near]
+            u = _uniform(_mix(own_key ^ U64(turn + (1 << 43)))[part[near]], near - cuts[part[near]])
+            values = _below(location + heads[part[near]], tops[part[near]], u)
+        ends = np.searchsorted(near, cuts)
         for j, (d, _, _, head, top) in enumerate(jobs):
             s, e = int(cuts[j]), int(cuts[j + 1])
             mine = Path(row[s:e], arc[s:e], log_p[s:e], chunk[who[s:e]])
@@ -327,15 +348,28 @@ class Sampler:
                 at = len(head.row)
                 mine = Path(*(np.concatenate((getattr(head, n), getattr(mine, n))) for n in ("row", "arc", "log_p", "chunk")))
             found[d].append((mine, top))
-            if e > s:
-                v = values[s:e]
-                best = np.argpartition(-v, min(k, e - s) - 1)[:k] if e - s > k else np.arange(e - s)
-                for b in best.tolist():
-                    if not np.isneginf(v[b]):
-                        heapq.heappush(queues[d], (-float(v[b]), turn, mine, at + b, (int(mine.arc[at + b]),)))
+            v, places = values[ends[j] : ends[j + 1]], near[ends[j] : ends[j + 1]]
+            best = np.argpartition(-v, k - 1)[:k] if len(v) > k else np.arange(len(v))
+            for b in best.tolist():
+                if not np.isneginf(v[b]):
+                    place = at + int(places[b]) - s
+                    heapq.heappush(queues[d], (-float(v[b]), turn, mine, place, (int(mine.arc[place]),)))
+
+    @staticmethod
+    def _locations(lattices: Lattices, row: np.ndarray, arc: np.ndarray, log_p: np.ndarray) -> np.ndarray:
+        """Logarithm of the share of the arcs that were not taken."""
+        aside = -np.expm1(log_p)
+        small = np.flatnonzero(aside < 1e-3)  # where rounding shows, the others are added up
+        if len(small):
+            others = np.exp(lattices.log_p[row[small]])
+            others[np.arange(len(small)), arc[small]] = 0
+            aside[small] = others.sum(axis=1)
+        aside[lattices.sole[row]] = 0
+        with np.errstate(divide="ignore"):
+            return np.log(aside)
 
     def _ids(self, lattices: Lattices, path: Path) -> np.ndarray:
-        ids = lattices.piece[path.row, path.arc]
+        ids = lattices.piece.ravel().take(path.row * lattices.piece.shape[1] + path.arc)
         lone = np.flatnonzero(ids == -2)
         if not len(lone):
             return ids
@@ -377,7 +411,7 @@ def _sample(path: str, k: int, seed: int, keep_ids: bool):
                 for doc_id, text, own in zip(ids[at:end], texts[at:end], ways):
                     data = text.encode()
                     for r, (got, log_p, top, inclusion) in enumerate(own):
-                        row = (doc_id, r + 1, len(got), zlib.crc32(got.astype("<u4").tobytes()), log_p, top, float(inclusion), sampler.pieces.decode(got.tolist()) == data)
+                        row = (doc_id, r + 1, len(got), zlib.crc32(got.astype("<u4").tobytes()), log_p, top, float(inclusion), sampler.pieces.decode(got) == data)
                         rows.append((*row, got) if keep_ids else row)
                 cols = list(zip(*rows)) or [()] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names)
