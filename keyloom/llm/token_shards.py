@@ -22,6 +22,7 @@ END_ID = 50256
 LENGTH = 1024  # tokens of a sequence
 STRIDE = 4 + 2 * LENGTH  # a record: used tokens as an unsigned 32-bit number, then 16-bit ids
 PER_SHARD = 4096
+PER_TASK = 16_384  # records that a task puts in order, about 32 MB
 PER_BLOCK = 256  # records of a row of a shard
 KEY = 0x5EED_0F_0EDE
 ROUNDS = 6
@@ -158,7 +159,7 @@ def shard_blocks(ordered: DataFrame, per_shard: int = PER_SHARD, per_block: int
     if per_shard % per_block:
         raise ValueError("per_block must divide per_shard")
     block = F.expr(f"slot div {per_block}")
-    tasks = max(1, ordered.sparkSession.sparkContext.defaultParallelism * 4)
+    tasks = max(4 * ordered.sparkSession.sparkContext.defaultParallelism, -(-ordered.count() // PER_TASK))
     spread = ordered.select("slot", "record", block.alias("block")).repartitionByRange(tasks, "block").sortWithinPartitions("slot")
     return spread.select("slot", "record").mapInArrow(_blocks(per_block, per_shard), "shard long, first_slot long, records int, payload binary")
 
