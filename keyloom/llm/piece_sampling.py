@@ -27,7 +27,7 @@ U64 = np.uint64
 TO_UNIT = float(2.0**-53)
 #: No draw of a double adds more than NOISE to its location; nodes FAR below the first are
 #: looked at only where that could matter.
-NOISE, FAR = 42.0, 100.0
+NOISE, FAR = 42.0, 64.0
 DRAWN = 1 << 14  # draws whose rows are held at once
 BELOW_ONE = np.float32(1 - 2.0**-24)
 
@@ -359,12 +359,13 @@ class Sampler:
     def _locations(lattices: Lattices, row: np.ndarray, arc: np.ndarray, log_p: np.ndarray) -> np.ndarray:
         """Logarithm of the share of the arcs that were not taken."""
         aside = -np.expm1(log_p)
-        small = np.flatnonzero(aside < 1e-3)  # where rounding shows, the others are added up
+        sole = lattices.sole[row]
+        small = np.flatnonzero((aside < 1e-3) & ~sole)  # where rounding shows, the others are added up
         if len(small):
             others = np.exp(lattices.log_p[row[small]])
             others[np.arange(len(small)), arc[small]] = 0
             aside[small] = others.sum(axis=1)
-        aside[lattices.sole[row]] = 0
+        aside[sole] = 0
         with np.errstate(divide="ignore"):
             return np.log(aside)
 
