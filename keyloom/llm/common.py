@@ -24,15 +24,15 @@ def shared_dir(spark: SparkSession) -> str:
     return own.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back.
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write df as Parquet, with the writer's options, to the shared folder and read it back.
 
     The result has no lineage: a lost executor costs no recomputation, and what
     was drawn or numbered before the write cannot change afterwards.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from keyloom.llm.common import documents, written
+from keyloom.llm.common import documents, shared_dir, written
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 END_ID = 50256
@@ -26,6 +27,9 @@ PER_TASK = 16_384  # records that a task puts in order, about 32 MB
 PER_BLOCK = 256  # records of a row of a shard
 KEY = 0x5EED_0F_0EDE
 ROUNDS = 6
+#: Of a block of a shard; its shard is the folder it stands in.
+BLOCK = "first_slot long, records int, payload binary, doc_ids array<long>, parts array<int>"
+CODEC = "zstd"  # what ids are stored with; it takes a sixth less than the default
 
 _encodings: dict[str, tiktoken.Encoding] = {}
 
@@ -112,20 +116,20 @@ def numbered(table: DataFrame) -> tuple[DataFrame, int]:
 def _blocks(per_block: int, per_shard: int):
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Joins records, which come in slot order, to rows of per_block records."""
-        held: list[tuple[int, bytes]] = []
+        held: list[tuple[int, bytes, int | None, int]] = []
 
         def row() -> pa.RecordBatch:
-            first = held[0][0]
-            cols = [[first // per_shard], [first], [len(held)], [b"".join(r for _, r in held)]]
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["shard", "first_slot", "records", "payload"])
+            slots, records, doc_ids, parts = zip(*held)
+            cols = [[slots[0] // per_shard], [slots[0]], [len(held)], [b"".join(records)], [doc_ids], [parts]]
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["shard", "first_slot", "records", "payload", "doc_ids", "parts"])
 
         for batch in batches:
-            for slot, record in zip(batch.column("slot").to_pylist(), batch.column("record")):
+            for slot, record, doc_id, part in zip(batch.column("slot").to_pylist(), batch.column("record"), batch.column("doc_id").to_pylist(), batch.column("part").to_pylist()):
                 if held and slot // per_block != held[0][0] // per_block:
                     yield row()
                     held.clear()
-                held.append((slot, record.as_buffer().to_pybytes()))
+                held.append((slot, record.as_buffer().to_pybytes(), doc_id, part))
         if held:
             yield row()
 
@@ -145,13 +149,13 @@ def training_order(docs: DataFrame, ranks: str = RANKS, length: int = LENGTH, en
     counts.  An empty table gives no rows.  Other columns are not read.
     """
     thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    table = written(thin.mapInArrow(_records(ranks, length, end_id), "doc_id long, part int, n_tokens int, record binary"), "sequences")
+    table = written(thin.mapInArrow(_records(ranks, length, end_id), "doc_id long, part int, n_tokens int, record binary"), "sequences", compression=CODEC)
     rows, n = numbered(table)
     return rows.select("doc_id", "part", "n_tokens", "record", slot_of(F.col("index").cast("long"), n, key).alias("slot"))
 
 
 def shard_blocks(ordered: DataFrame, per_shard: int = PER_SHARD, per_block: int = PER_BLOCK) -> DataFrame:
-    """(shard, first_slot, records, payload): the shards' bytes in slot order.
+    """(shard, first_slot, records, payload, doc_ids, parts): the shards' bytes in slot order, and whose they are.
 
     Tasks own ranges of blocks, so that a block is never divided; per_block must divide
     per_shard.  Slot s is at byte (s - first_slot) x stride of its block's payload.
@@ -160,13 +164,18 @@ def shard_blocks(ordered: DataFrame, per_shard: int = PER_SHARD, per_block: int
         raise ValueError("per_block must divide per_shard")
     block = F.expr(f"slot div {per_block}")
     tasks = max(4 * ordered.sparkSession.sparkContext.defaultParallelism, -(-ordered.count() // PER_TASK))
-    spread = ordered.select("slot", "record", block.alias("block")).repartitionByRange(tasks, "block").sortWithinPartitions("slot")
-    return spread.select("slot", "record").mapInArrow(_blocks(per_block, per_shard), "shard long, first_slot long, records int, payload binary")
+    spread = ordered.select("slot", "record", "doc_id", "part", block.alias("block")).repartitionByRange(tasks, "block").sortWithinPartitions("slot")
+    return spread.drop("block").mapInArrow(_blocks(per_block, per_shard), f"shard long, {BLOCK}")
 
 
 def write_shards(ordered: DataFrame, path: str) -> None:
     """Write shard_blocks as Parquet, a folder a shard; the committer makes retries safe."""
-    shard_blocks(ordered).write.partitionBy("shard").parquet(path)
+    shard_blocks(ordered).write.partitionBy("shard").parquet(path, compression=CODEC)
+
+
+def stored(spark: SparkSession, path: str) -> DataFrame:
+    """The blocks that write_shards left in path."""
+    return spark.read.schema(f"{BLOCK}, shard long").parquet(path)
 
 
 def read_from(spark: SparkSession, path: str, slot: int, per_shard: int = PER_SHARD, stride: int = STRIDE) -> DataFrame:
@@ -175,7 +184,7 @@ def read_from(spark: SparkSession, path: str, slot: int, per_shard: int = PER_SH
     Shards before the slot's are pruned by folder, and records before it are skipped by
     their fixed stride.
     """
-    blocks = spark.read.parquet(path).where((F.col("shard") >= slot // per_shard) & (F.col("first_slot") + F.col("records") > slot))
+    blocks = stored(spark, path).where((F.col("shard") >= slot // per_shard) & (F.col("first_slot") + F.col("records") > slot))
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,22 +201,27 @@ def read_from(spark: SparkSession, path: str, slot: int, per_shard: int = PER_SH
 
 def _digests(per_shard: int, stride: int):
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["slot", "shard", "byte_offset", "n_tokens", "record_crc32"]
+        names = ["doc_id", "part", "n_tokens", "slot", "shard", "byte_offset", "record_crc32"]
         for batch in batches:
-            for first, data in zip(batch.column("first_slot").to_pylist(), batch.column("payload").to_pylist()):
+            for first, data, doc_ids, parts in zip(*(batch.column(c).to_pylist() for c in ("first_slot", "payload", "doc_ids", "parts"))):
                 at = range(0, len(data), stride)
                 slots = np.arange(first, first + len(at))
                 used = [int.from_bytes(data[a : a + 4], "little") for a in at]
                 sums = [zlib.crc32(data[a : a + stride]) for a in at]
-                cols = [slots, slots // per_shard, slots % per_shard * stride, np.array(used, np.int32), np.array(sums, np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
+                owners = [pa.array(doc_ids, pa.int64()), pa.array(parts, pa.int32()), pa.array(used, pa.int32())]
+                places = [slots, slots // per_shard, slots % per_shard * stride, np.array(sums, np.int64)]
+                yield pa.RecordBatch.from_arrays([*owners, *map(pa.array, places)], names)
 
     return digests
 
 
 def op4_feistel_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every sequence of every document: its slot, and what its shard holds there."""
-    ordered = training_order(documents(spark, sf_dir))
-    found = shard_blocks(ordered).select("first_slot", "payload").mapInArrow(_digests(PER_SHARD, STRIDE), "slot long, shard long, byte_offset long, n_tokens int, record_crc32 long")
-    owners = ordered.select("doc_id", "part", "slot")
-    return found.join(owners, "slot").select("doc_id", "part", "n_tokens", "slot", "shard", "byte_offset", "record_crc32")
+    """Every sequence of every document: its slot, and what its stored shard holds there.
+
+    The shards stay in the shared folder, for read_from; the digests are of what is read
+    back from them.
+    """
+    path = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
+    write_shards(training_order(documents(spark, sf_dir)), path)
+    schema = "doc_id long, part int, n_tokens int, slot long, shard long, byte_offset long, record_crc32 long"
+    return stored(spark, path).select("first_slot", "payload", "doc_ids", "parts").mapInArrow(_digests(PER_SHARD, STRIDE), schema)

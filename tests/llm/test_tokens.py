@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -139,3 +141,28 @@ def test_order_query(spark, sf, texts):
     rows = T.op4_feistel_order(spark, sf).collect()
     assert sorted(r.slot for r in rows) == list(range(len(rows))) and {r.doc_id for r in rows} == set(texts)
     assert all((r.shard, r.byte_offset) == (r.slot // T.PER_SHARD, r.slot % T.PER_SHARD * T.STRIDE) for r in rows)
+
+
+def test_order_query_stores_what_it_digests(spark, sf, texts):
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(shared.glob("shards-*"))
+    rows = {r.slot: r for r in T.op4_feistel_order(spark, sf).collect()}
+    (path,) = set(shared.glob("shards-*")) - before
+    docs = {}
+    for r in T.read_from(spark, f"file://{path}", 0).collect():
+        own = rows.pop(r.slot)
+        record = r.n_tokens.to_bytes(4, "little") + np.pad(np.array(r.ids, "<u2"), (0, T.LENGTH - len(r.ids)), constant_values=T.END_ID).tobytes()
+        assert (own.n_tokens, own.record_crc32) == (r.n_tokens, zlib.crc32(record))
+        docs.setdefault(own.doc_id, {})[own.part] = r.ids
+    encoding = T._encoding(T.RANKS)
+    assert not rows
+    assert {k: encoding.decode([x for p in sorted(v) for x in v[p]][:-1]) for k, v in docs.items()} == texts
+
+
+def test_shards_of_null_ids_and_of_nothing(spark, edges, nothing, edge_texts, tmp_path):
+    for name, docs, n in (("edges", edges, len(edge_texts)), ("nothing", nothing, 0)):
+        path = f"file://{tmp_path}/{name}"
+        T.write_shards(T.training_order(docs), path)
+        kept = [(k, p) for r in T.stored(spark, path).collect() for k, p in zip(r.doc_ids, r.parts)]
+        assert sum(p == 0 for _, p in kept) == n == sum(r.ids[-1] == T.END_ID for r in T.read_from(spark, path, 0).collect())
+        assert sum(k is None for k, _ in kept) == (2 if n else 0)
