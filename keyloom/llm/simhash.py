@@ -51,13 +51,13 @@ def fingerprint(data: bytes, shingle: int = SHINGLE) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = np.array([fingerprint(x.as_buffer().to_pybytes() if x.is_valid else b"") for x in batch.column(1)], np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:1], pa.array(prints.view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", *batch.schema.names[2:]])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp long): the SimHash of every whole text; a null text has no words."""
-    thin = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return thin.mapInArrow(_fingerprints, f"doc_id {dict(thin.dtypes)['doc_id']}, fp long")
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hashed: bool = False) -> DataFrame:
+    """(doc_id, fp long): the SimHash of every whole text; a null text has no words.  hashed adds the text's hash."""
+    thin = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"), *[F.xxhash64(text_col).alias("hash")] * hashed)
+    return thin.mapInArrow(_fingerprints, f"doc_id {dict(thin.dtypes)['doc_id']}, fp long" + ", hash long" * hashed)
 
 
 def gray_rank(fp: np.ndarray) -> np.ndarray:
@@ -173,32 +173,45 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     stay, each with the same answer.  An empty table gives no rows; other columns of
     docs are neither read nor returned.
     """
-    prints = written(fingerprints(docs, id_col, text_col), "fingerprints")
-    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("id")), "codes")
+    return _components(docs, id_col, text_col, max_bits, F.col("doc_id")).select("doc_id", "fp", F.col("least").alias("component_id"))
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, max_bits: int, ranked: Column, hashed: bool = False) -> DataFrame:
+    """fingerprints() of docs with least: the smallest value of ranked in the row's component."""
+    prints = written(fingerprints(docs, id_col, text_col, hashed), "fingerprints")
+    nodes = written(prints.groupBy("fp").agg(F.min(ranked).alias("id")), "codes")
     linkable = nodes.select(F.col("fp").alias("id"), "fp")
     groups = written(connected_components(near_fingerprints(linkable, max_bits)), "components")
     named = groups.join(nodes, groups["node"] == nodes["fp"]).groupBy("component").agg(F.min("id").alias("least"))
     named = written(named, "least")  # so that a large component's rows can be split among tasks in the join
     of_code = nodes.join(groups, nodes["fp"] == groups["node"], "left").join(named, "component", "left")
-    labels = written(of_code.select("fp", F.coalesce("least", "id").alias("component_id")), "labels")
-    return prints.join(labels, "fp").select("doc_id", "fp", "component_id")
+    labels = written(of_code.select("fp", F.coalesce("least", "id").alias("least")), "labels")
+    return prints.join(labels, "fp")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows whose group has a smaller id; columns as in docs.
+    """docs with one row of each group, that of the smallest id; columns as in docs.
 
-    Only the ids that go are joined to the texts, as an anti-join.  Equal rows (id and
-    text) count as one and one of them stays; a row without an id stays, as nothing
-    tells it from others.  An empty table stays empty.
+    Rows are told apart by id and hash of the text, so that an id with several texts is
+    judged text by text; of a group's texts under its smallest id the one of the
+    smallest hash stays.  Only the (id, hash) that go are joined to the texts, as an
+    anti-join.  Equal rows (id and text) count as one and one of them stays; a row
+    without an id stays, as nothing tells it from others.  An empty table stays empty.
     """
-    thin = written(simhash_components(docs, id_col, text_col), "groups")
-    gone = written(thin.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct(), "gone")
-    rest = docs.join(gone, id_col, "left_anti").select(*docs.columns)
-    again = written(thin.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(id_col)), "repeated")
+    row = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "hash"))
+    thin = written(_components(docs, id_col, text_col, MAX_BITS, row, hashed=True).where("doc_id is not null"), "groups")
+    first = F.struct("doc_id", "hash") == F.col("least")
+
+    def matched(rows: DataFrame, some: DataFrame, how: str) -> DataFrame:
+        return rows.join(some, (rows[id_col] == some["doc_id"]) & (F.xxhash64(rows[text_col]) == some["hash"]), how)
+
+    gone = written(thin.where(~first).select("doc_id", "hash").distinct(), "gone")
+    rest = matched(docs, gone, "left_anti")
+    again = written(thin.where(first).groupBy("doc_id", "hash").count().where("count > 1").select("doc_id", "hash"), "repeated")
     if again.isEmpty():
         return rest
-    once = rest.join(again, id_col, "left_semi").dropDuplicates([id_col, text_col])
-    return rest.join(again, id_col, "left_anti").unionByName(once)
+    once = matched(rest, again, "left_semi").dropDuplicates([id_col, text_col])
+    return matched(rest, again, "left_anti").unionByName(once)
 
 
 def hexadecimal(fp: Column) -> Column:

@@ -86,3 +86,10 @@ def test_gray_neighbours_differ_in_one_bit():
     codes = np.arange(64, dtype=np.uint64)
     in_order = codes[np.argsort(S.gray_rank(codes))]
     assert (np.bitwise_count(in_order[1:] ^ in_order[:-1]) == 1).all()
+
+
+def test_keep_one_judges_an_id_text_by_text(spark):
+    a, b, c, d = (" ".join(f"{w}{k}" for k in range(30)) for w in ("alpha", "beta", "gamma", "delta"))
+    rows = [(1, a.upper()), (5, a), (5, b), (2, c), (2, c.upper()), (2, d), (2, d), (9, d)]
+    kept = sorted((r.doc_id, r.text) for r in S.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert [(k, t.lower()) for k, t in kept] == [(1, a), (2, d), (2, c), (5, b)] and (1, a.upper()) in kept
