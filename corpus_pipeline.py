@@ -11,8 +11,9 @@ from keyloom.llm.common import documents, written
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a letter or without a likely language."""
-    found = language_id.identify(docs, language_id.train(docs))
-    sure = (F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= language_id.REJECT_BELOW)
+    network = language_id.train(docs)
+    found = language_id.identify(docs, network)
+    sure = (F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= language_id.reject_below(network))
     return found.where(sure).select("record.*")
 
 

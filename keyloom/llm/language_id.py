@@ -16,11 +16,10 @@ SEGMENT = 128  # bytes over which the network's state runs before it starts anew
 BATCH = 2048  # segments stepped together
 PAD = 256
 UNDETERMINED = "und"
-MOST_LANGUAGES = 64
 #: The training sample: about so many documents a language, and pieces of so many bytes of each.
 TRAIN_DOCS, TRAIN_PIECES, TRAIN_BYTES = 250, 3, 64
 STEPS, RATE, TRAIN_BATCH, SEED = 260, 0.02, 128, 11
-REJECT_BELOW = 0.3
+REJECT_BELOW = 1.2  # times chance, which is 1 / number of languages
 
 
 class Gru:
@@ -175,10 +174,10 @@ def training_pieces(docs: DataFrame, docs_each: int = TRAIN_DOCS, pieces: int =
 
     A document is drawn by a hash of its id with its language's own share, so that
     about docs_each documents of each language come to the driver, a few short pieces
-    of each.  The MOST_LANGUAGES most frequent languages are learned.
+    of each.  Every language is learned, so the sample grows with their number only.
     """
     usable = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    counts = usable.groupBy("lang").count().collect()
     share = {r["lang"]: min(1.0, docs_each / r["count"]) for r in counts}
     languages = sorted(share)
     if not languages:
@@ -204,6 +203,12 @@ def train(docs: DataFrame) -> Network | None:
     return network
 
 
+def reject_below(network: Network | None) -> float:
+    """The score under which a language is no better than a guess; a sole language is never rejected."""
+    n = len(network.languages) if network else 0
+    return REJECT_BELOW / n if n > 1 else 0.0
+
+
 def _label(network: Network | None):
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

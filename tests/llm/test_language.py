@@ -79,3 +79,14 @@ def test_long_text_is_read_whole(spark, docs):
     text = en[:400] + " " + de * 40
     got = L.identify(spark.createDataFrame([(1, text)], "doc_id long, text string"), net).first()
     assert got.lang_pred == "de"
+
+
+def test_every_language_is_learned(spark):
+    rows = [(20 * k + j, f"{chr(0x4E00 + k)} {j}", f"l{k:02}") for k in range(70) for j in range(20)]
+    languages, pieces, labels = L.training_pieces(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert languages == [f"l{k:02}" for k in range(70)] and set(labels) == set(range(70))
+
+
+def test_reject_limit_follows_chance():
+    limits = [L.reject_below(L.Network([str(k) for k in range(n)])) for n in (1, 2, 4, 100)]
+    assert limits == [0.0, 0.6, 0.3, 0.012] and L.reject_below(None) == 0.0
