@@ -23,8 +23,10 @@ NEEDED = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 
 #: A word of 5 to 80 characters with a digit or @, without the marks at its end.
 CANDIDATE = r"(?<!\S)(?=\S{0,80}[0-9@])\S{5,80}?(?=[.,;:!?)\]\x22'>]{0,3}(?:\s|$))"
-LEFT, RIGHT = 60, 40  # characters in which the neighbouring words are looked for
-ROUNDS = 3
+LEFT, RIGHT = 60, 40  # characters in which the neighbouring words are looked for first
+WIDER = 16  # times so many, and again, where they do not hold the words whole; then all
+LONG = 120  # longer patterns are kept as their hash
+SETTLED = 1e-6  # change of all confidences together that counts as none
 MIN_SEEDS = 5.0  # distinct instances that speak for a pattern
 MIN_PATTERN = 0.8
 OPEN_WEIGHT = 0.5  # what a candidate of no known kind counts against a pattern
@@ -160,12 +162,26 @@ def cut(pieces: Column, start: Column, end: Column) -> Column:
 
 def _contexts(pieces: Column, start: Column, end: Column) -> Column:
     """Lexical patterns around a span: the two words before it; the word on either side."""
-    left = F.lower(cut(pieces, F.greatest(start - LEFT, F.lit(0)), start))
-    right = F.lower(cut(pieces, end, end + RIGHT))
-    two = F.regexp_extract(left, r"(\S+)\s+(\S+)\s*$", 0)
-    one = F.regexp_extract(left, r"(\S+)\s*$", 1)
-    after = F.regexp_extract(right, r"^\S*\s+(\S+)", 1)
-    return F.array(F.concat(F.lit("L "), F.regexp_replace(F.trim(two), r"\s+", " ")), F.concat(F.lit("B "), one, F.lit(" _ "), after))
+    all_ = (F.size(pieces) * PIECE).cast("int")
+
+    def widened(taken, whole: str, width: int, turns: int = 2) -> Column:
+        """What is taken in the first width that holds whole, or reaches the text's end."""
+        if not turns:
+            return taken(all_)
+        held = lambda t: F.when(t.rlike(whole) | (F.length(t) < width), t).otherwise(widened(taken, whole, width * WIDER, turns - 1))
+        return F.transform(F.array(taken(F.lit(width))), held)[0]
+
+    left = widened(lambda w: cut(pieces, F.greatest(start - w, F.lit(0)), start), r"\s\S++\s++\S++\s*+$", LEFT)
+    right = widened(lambda w: cut(pieces, end, end + w), r"^\S*+\s++\S++\s", RIGHT)
+
+    def patterns(sides: Column) -> Column:
+        two = F.regexp_extract(sides["left"], r"(?<!\S)(\S++)\s++(\S++)\s*+$", 0)
+        one = F.regexp_extract(sides["left"], r"(?<!\S)(\S++)\s*+$", 1)
+        after = F.regexp_extract(sides["right"], r"^\S*+\s++(\S++)", 1)
+        both = F.array(F.concat(F.lit("L "), F.regexp_replace(F.trim(two), r"\s+", " ")), F.concat(F.lit("B "), one, F.lit(" _ "), after))
+        return F.transform(both, lambda p: F.when(F.length(p) > LONG, F.concat(F.substring(p, 1, 2), F.sha2(p, 256))).otherwise(p))
+
+    return F.transform(F.array(F.struct(F.lower(left).alias("left"), F.lower(right).alias("right"))), patterns)[0]
 
 
 OCCURRENCE = "array<struct<kind:int,start:int,end:int,value:string,patterns:array<string>>>"
@@ -182,22 +198,24 @@ def occurrences(text: Column, base: Column) -> Column:
     return F.when(text.rlike("[0-9@]"), in_pieces(text, placed).cast(OCCURRENCE)).otherwise(F.array().cast(OCCURRENCE))
 
 
-def bootstrap(edges: DataFrame, rounds: int = ROUNDS, min_seeds: float = MIN_SEEDS, min_pattern: float = MIN_PATTERN, min_instance: float = MIN_INSTANCE) -> DataFrame:
+def bootstrap(edges: DataFrame, min_seeds: float = MIN_SEEDS, min_pattern: float = MIN_PATTERN, min_instance: float = MIN_INSTANCE) -> DataFrame:
     """(value, kind, confidence) of instances that high-confidence patterns discover.
 
     edges: distinct (pattern, value, kind), kind null for candidates.  A seed is certain
     of its kind.  A pattern's score for a kind is the confidence of its distinct instances
     of the kind over all its instances, candidates at OPEN_WEIGHT, and counts if at least
     min_seeds speak for it; a pattern that serves several kinds thus counts for none.  A candidate's confidence is what its patterns leave of the doubt
-    (noisy or).  Each round the instances score the patterns anew.
+    (noisy or).  Each round the instances score the patterns anew, until one finds no new
+    instance and leaves the confidences as they were; as more confidence never lowers
+    another, that comes.
     """
     seeds = edges.where("kind is not null").select("value", "kind").distinct().withColumn("confidence", F.lit(1.0))
     open_ = edges.where("kind is null").select("pattern", "value")
     weighed = edges.groupBy("pattern", "value").agg(F.max(F.when(F.col("kind").isNull(), OPEN_WEIGHT).otherwise(1.0)).alias("weight"))
     sizes = weighed.groupBy("pattern").agg(F.sum("weight").alias("size"))
     pairs = edges.select("pattern", "value").distinct()
-    known, found = seeds, None
-    for _ in range(rounds):
+    known, found, before = seeds, None, (0, 0.0)
+    while True:
         support = pairs.join(known, "value").groupBy("pattern", "kind").agg(F.sum("confidence").alias("support"))
         scored = support.where(F.col("support") >= min_seeds).join(sizes, "pattern").withColumn("score", F.least(F.col("support") / F.col("size"), F.lit(0.99)))
         strong = written(scored.where(F.col("score") >= min_pattern).select("pattern", "kind", "score"), "patterns")
@@ -206,6 +224,10 @@ def bootstrap(edges: DataFrame, rounds: int = ROUNDS, min_seeds: float = MIN_SEE
         newer = written(judged.where(F.col("confidence") >= min_instance), "instances")
         discard(strong, found)
         found, known = newer, seeds.unionByName(newer)
+        now = tuple(newer.agg(F.count(F.lit(1)), F.coalesce(F.sum("confidence"), F.lit(0.0))).first())
+        if now[0] == before[0] and now[1] - before[1] < SETTLED:
+            break
+        before = now
     best = F.max(F.struct("confidence", (-F.col("kind")).alias("first")))
     return found.groupBy("value").agg(best.alias("best")).select("value", (-F.col("best.first")).alias("kind"), F.col("best.confidence").alias("confidence"))
 

@@ -88,3 +88,25 @@ def test_masking_overlaps(spark):
 def test_plan_is_native(spark, sf):
     plan = pii.op8_bootstrapped_contexts(spark, sf)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_bootstrap_follows_a_chain_to_its_end(spark):
+    edges = [("p0", f"seed{k}", 0) for k in range(20)]
+    for link in range(6):
+        edges += [(f"p{p}", f"c{link}_{k}", None) for k in range(6) for p in (link, link + 1)]
+    found = pii.bootstrap(spark.createDataFrame(edges, "pattern string, value string, kind int")).collect()
+    assert {r.value for r in found} == {f"c{link}_{k}" for link in range(6) for k in range(6)} and all(r.kind == 0 for r in found)
+
+
+def test_contexts_hold_whole_words(spark):
+    long_ = ["w" * n for n in (90, 2000, 40_000)]
+    rows = [(f"{x}{w} {y} token1234 {w}{z} end",) for w in long_ for x, y, z in (("a", "is", "c"), ("b", "is", "c"), ("a", "is", "d"))]
+    rows += [(f"in {x}{w} token1234",) for w in long_ for x in "ab"]
+    text = F.col("text")
+    got = spark.createDataFrame(rows, "text string").select("text", pii.occurrences(text, pii.base_spans(text))[0]["patterns"].alias("p")).collect()
+    by = {r.text: r.p for r in got}
+    for k in range(3):
+        one, other, after = (by[r[0]] for r in rows[3 * k : 3 * k + 3])
+        assert one[0] != other[0] and one[1] == other[1] and one[0] == after[0] and one[1] != after[1]
+        a, b = (by[r[0]] for r in rows[9 + 2 * k : 11 + 2 * k])
+        assert a[0] != b[0] and a[1] != b[1]
