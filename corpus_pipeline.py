@@ -38,8 +38,8 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack the texts' tokens into sequences of 2048."""
-    return packing.pack_documents(docs, keep_ids=False).withColumn("length", F.col("length").cast("long"))
+    """Pack the texts' tokens into sequences of 2048; each piece holds its ids."""
+    return packing.pack_documents(docs).withColumn("length", F.col("length").cast("long"))
 
 
 STAGES = [

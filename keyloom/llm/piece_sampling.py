@@ -455,5 +455,5 @@ def decode_ids(encoded: DataFrame, model: str = MODEL) -> DataFrame:
 
 
 def op3_gumbel_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sampled segmentations of every document."""
-    return sample_segmentations(documents(spark, sf_dir), keep_ids=False)
+    """Sampled segmentations of every document, with their ids."""
+    return sample_segmentations(documents(spark, sf_dir))

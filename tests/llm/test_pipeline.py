@@ -57,3 +57,13 @@ def test_edges_go_through(spark, edges, nothing):
 def test_operators_are_those_of_the_list():
     assert [n for n, _ in C.STAGES] == ["language_id", "quality_rules", "simhash_near_dedup", "pii", "best_fit_packing"]
     assert all(m.__name__.startswith("keyloom.llm") for m in (language_id, quality, simhash, pii, packing))
+
+
+def test_packing_returns_the_ids(spark):
+    docs = documents(spark, SF)
+    rows = C.pack_sequences(spark, docs, SF).collect()
+    want = token_ids((r.doc_id, r.text) for r in docs.collect())
+    got = {}
+    for r in sorted(rows, key=lambda r: (r.doc_id, r.start)):
+        got.setdefault(r.doc_id, []).extend(r.ids)
+    assert got == {k: [x for ids in v for x in ids.tolist()] for k, v in want.items()}

@@ -93,6 +93,12 @@ def test_query_round_trip_and_partitions(spark, sf, docs):
     assert {(r.doc_id, r.sample): r.ids_crc32 for r in again} == {k: r.ids_crc32 for k, r in rows.items()}
 
 
+def test_query_returns_the_ids(spark, sf, texts):
+    rows = G.op3_gumbel_top_k(spark, sf)
+    assert all(r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes()) and len(r.ids) == r.n_pieces for r in rows.collect())
+    assert {r.doc_id: r.text for r in G.decode_ids(rows.where("sample = 1")).collect()} == texts
+
+
 # --- training order
 
 
