@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -18,9 +17,11 @@ SHINGLE = 3
 HASH_SEED = 42
 MAX_BITS = 2
 LEAF = 16  # fingerprints under one lowest node of the index
-#: Upper nodes: the shared pattern leaves out two of the fingerprint's eight bytes.
-#: Two fingerprints with at most two different bits agree under one of these masks.
-MASKS = tuple((1 << 64) - 1 - (255 << 8 * i) - (255 << 8 * j) for i, j in combinations(range(8), 2))
+FAN = 4  # neighbouring nodes under one upper node
+SEGMENT = 1024  # fingerprints of a row: small enough for Arrow batches, large enough for a tree
+BLOCK_BITS = 10, 20  # a block holds 2**10 to 2**20 fingerprints, 8 MB: what a task searches in
+BLOCKS = 1 << 16  # blocks at most, 24 bytes each for every task; beyond, the blocks grow instead
+FRONTIER = 1 << 12  # pairs of leaves compared at once
 
 
 def fingerprint(data: bytes, shingle: int = SHINGLE) -> int:
@@ -60,107 +61,239 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return thin.mapInArrow(_fingerprints, f"doc_id {dict(thin.dtypes)['doc_id']}, fp long" + ", hash long" * hashed)
 
 
-def gray_rank(fp: np.ndarray) -> np.ndarray:
-    """Place of each code in the binary reflected Gray order."""
-    rank = fp.copy()
-    for shift in (1, 2, 4, 8, 16, 32):
-        rank ^= rank >> np.uint64(shift)
-    return rank
+def gray_rank(fp: Column) -> Column:
+    """Place of each code in the binary reflected Gray order, as a signed number in the same order."""
+    steps = F.array(*[F.lit(k) for k in (1, 2, 4, 8, 16, 32)])
+    rank = F.aggregate(steps, fp, lambda r, k: r.bitwiseXOR(F.call_function("shiftrightunsigned", r, k)))
+    return rank.bitwiseXOR(F.lit(-(1 << 63)))
 
 
-def _near_in_node(codes: np.ndarray, max_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (i, j) of Gray-ordered codes with at most max_bits different bits, leaf by leaf.
+class Tree:
+    """A hierarchical index over codes in Gray order.
 
-    Leaves are runs of LEAF codes.  A leaf keeps the mask and pattern of the bits all
-    its codes share.  A code that already differs from a leaf's pattern in more than
-    max_bits bits prunes the leaf as a whole; otherwise the difference so far and that
-    in the leaf's free bits are added up code by code.
+    Neighbours in Gray order agree in most leading bits.  A leaf holds LEAF neighbouring
+    codes, an upper node FAN neighbouring nodes; each keeps the mask of the bits that all
+    codes below it share, and their pattern.  The last level is a single root.
     """
-    leaves = [codes[a : a + LEAF] for a in range(0, len(codes), LEAF)]
-    same = np.array([~(np.bitwise_or.reduce(x) ^ np.bitwise_and.reduce(x)) for x in leaves], np.uint64)
-    pattern = np.array([x[0] for x in leaves], np.uint64) & same
-    for k, leaf in enumerate(leaves):
-        rest = codes[k * LEAF :]  # a pair is found from its later code's side
-        so_far = np.bitwise_count((rest & same[k]) ^ pattern[k])
-        near = np.flatnonzero(so_far <= max_bits)
-        for m, code in enumerate(leaf):
-            free = np.bitwise_count((rest[near] ^ code) & ~same[k])
-            hit = near[(so_far[near] + free <= max_bits) & (near > m)]
-            if len(hit):
-                yield np.full(len(hit), k * LEAF + m), hit + k * LEAF
-
-
-def _spanning(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> list[int]:
-    """For each of n members the root of its group; links beyond a spanning forest go no further."""
-    parent = list(range(n))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for left, right in pairs:
-        for a, b in zip(left.tolist(), right.tolist()):
-            a, b = root(a), root(b)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-    return [root(x) for x in range(n)]
-
-
-def _links(max_bits: int):
+
+    def __init__(self, codes: np.ndarray):
+        self.codes = codes
+        short = -len(codes) % LEAF
+        leaves = np.append(codes, np.repeat(codes[-1:], short)).reshape(-1, LEAF)
+        self.leaves = leaves
+        levels = [(np.bitwise_and.reduce(leaves, axis=1), np.bitwise_or.reduce(leaves, axis=1))]
+        while len(levels[-1][0]) > 1:
+            ends = np.arange(0, len(levels[-1][0]), FAN)
+            levels.append((np.bitwise_and.reduceat(levels[-1][0], ends), np.bitwise_or.reduceat(levels[-1][1], ends)))
+        self.levels = [(~(every ^ some), every) for every, some in levels]
+
+
+def _children(level: int, nodes: np.ndarray, tree: Tree) -> tuple[np.ndarray, np.ndarray]:
+    """(which of nodes, child) one level down."""
+    of = np.repeat(np.arange(len(nodes)), FAN)
+    child = (nodes[:, None] * FAN + np.arange(FAN)).ravel()
+    held = child < len(tree.levels[level - 1][0])
+    return of[held], child[held]
+
+
+def near_pairs(a: Tree, b: Tree, max_bits: int, pruned: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) in a and b of codes with at most max_bits different bits; i < j if a is b.
+
+    Both trees are walked from their roots, a group against a group.  Each step adds up
+    what the newly shared bits of the two groups differ in; with more than max_bits the
+    two groups are left, with all the pairs below them.  pruned, if given, counts these
+    by the level of the higher group, leaves at 0.
+    """
+    same = a is b
+
+    def walk(la: int, lb: int, x: np.ndarray, y: np.ndarray, so_far: np.ndarray, seen: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        (mask_a, own_a), (mask_b, own_b) = a.levels[la], b.levels[lb]
+        shared = mask_a[x] & mask_b[y]
+        so_far = so_far + np.bitwise_count((own_a[x] ^ own_b[y]) & shared & ~seen)
+        near = so_far <= max_bits
+        if pruned is not None:
+            pruned[max(la, lb)] += int((~near).sum())
+        x, y, so_far, seen = x[near], y[near], so_far[near], shared[near]
+        for at in range(0, len(x), FRONTIER):
+            part = slice(at, at + FRONTIER)
+            yield from down(la, lb, x[part], y[part], so_far[part], seen[part])
+
+    def down(la, lb, x, y, so_far, seen) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if la == lb == 0:
+            free = (a.leaves[x][:, :, None] ^ b.leaves[y][:, None, :]) & ~seen[:, None, None]
+            k, i, j = np.nonzero(so_far[:, None, None] + np.bitwise_count(free) <= max_bits)
+            i, j = x[k] * LEAF + i, y[k] * LEAF + j
+            held = (i < len(a.codes)) & (j < len(b.codes)) & ((i < j) if same else True)
+            yield i[held], j[held]
+            return
+        ka, kb = max(la, lb) == la > 0, max(la, lb) == lb > 0  # the higher group is opened, or both
+        if ka:
+            of, x = _children(la, x, a)
+            y, so_far, seen = y[of], so_far[of], seen[of]
+        if kb:
+            of, y = _children(lb, y, b)
+            x, so_far, seen = x[of], so_far[of], seen[of]
+        if same:
+            once = x <= y
+            x, y, so_far, seen = x[once], y[once], so_far[once], seen[once]
+        yield from walk(la - ka, lb - kb, x, y, so_far, seen)
+
+    root = np.zeros(1, np.int64)
+    yield from walk(len(a.levels) - 1, len(b.levels) - 1, root, root, np.zeros(1, np.uint8), np.zeros(1, np.uint64))
+
+
+def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n members the smallest one that links (a, b) reach, by passing labels and jumping."""
+    root = np.arange(n)
+    while len(a):
+        before = root.copy()
+        low = np.minimum(root[a], root[b])
+        for x in (a, b, root[a], root[b]):
+            np.minimum.at(root, x, low)
+        root = root[root]
+        if (root == before).all():
+            break
+    return root
+
+
+def _segments(block: int):
+    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Codes come in Gray order; each row holds SEGMENT of them, and the block they are in."""
+        names = ["block", "every", "some", "codes"]
+        held, size, name = np.zeros(0, np.uint64), 0, 0
+
+        def rows(whole: np.ndarray) -> pa.RecordBatch:
+            nonlocal size, name
+            out: list[list] = [[], [], [], []]
+            for at in range(0, len(whole), SEGMENT):
+                part = whole[at : at + SEGMENT]
+                if size == 0:
+                    name = int(part[:1].view(np.int64)[0])  # a block goes by its first code
+                for x, v in zip(out, (name, int(np.bitwise_and.reduce(part).astype(np.int64)), int(np.bitwise_or.reduce(part).astype(np.int64)), part.tobytes())):
+                    x.append(v)
+                size = (size + len(part)) % block
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out[:3]] + [pa.array(out[3], pa.binary())], names)
+
+        for batch in batches:
+            held = np.concatenate((held, np.asarray(batch.column(0)).view(np.uint64)))
+            cut = len(held) // SEGMENT * SEGMENT
+            yield rows(held[:cut])
+            held = held[cut:]
+        yield rows(held)
+
+    return segments
+
+
+def _routes(names: np.ndarray, every: np.ndarray, some: np.ndarray, max_bits: int):
+    """Each segment to every block that may hold a code near one of its own, its own block first.
+
+    The blocks' nodes, with upper nodes above them, are the top of the index.  Of two
+    blocks the earlier one's segments go to the later one.
+    """
+    levels = [(every, some)]
+    while len(levels[-1][0]) > 1:
+        ends = np.arange(0, len(levels[-1][0]), FAN)
+        levels.append((np.bitwise_and.reduceat(levels[-1][0], ends), np.bitwise_or.reduceat(levels[-1][1], ends)))
+    nodes = [(~(e ^ s), e) for e, s in levels]
+    place = {int(n): k for k, n in enumerate(names)}
+
+    def routes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = np.array([place[b] for b in batch.column("block").to_pylist()], np.int64)
+            all_, any_ = (np.asarray(batch.column(c)).view(np.uint64) for c in ("every", "some"))
+            mask = ~(all_ ^ any_)
+            x, y = np.arange(len(batch)), np.zeros(len(batch), np.int64)
+            so_far, seen = np.zeros(len(batch), np.uint8), np.zeros(len(batch), np.uint64)
+            for level in range(len(nodes) - 1, -1, -1):
+                masks, pattern = nodes[level]
+                shared = mask[x] & masks[y]
+                so_far = so_far + np.bitwise_count((all_[x] ^ pattern[y]) & shared & ~seen)
+                near = (so_far <= max_bits) & (y >= own[x] // FAN**level)  # later blocks only
+                x, y, so_far, seen = x[near], y[near], so_far[near], shared[near]
+                if level:
+                    of = np.repeat(np.arange(len(y)), FAN)
+                    child = (y[:, None] * FAN + np.arange(FAN)).ravel()
+                    held = child < len(nodes[level - 1][0])
+                    x, y, so_far, seen = x[of[held]], child[held], so_far[of[held]], seen[of[held]]
+            for at in range(0, len(x), 4096):
+                part = slice(at, at + 4096)
+                visits = y[part] != own[x[part]]
+                yield pa.RecordBatch.from_arrays([pa.array(names[y[part]]), pa.array(visits), batch.column("codes").take(pa.array(x[part]))], ["block", "visits", "codes"])
+
+    return routes
+
+
+def _search(max_bits: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by upper node (mask, pattern); a node that spans batches is kept whole."""
-
-        def found(mask, pattern, fp, ids):
-            edge = np.flatnonzero((np.diff(mask) != 0) | (np.diff(pattern) != 0)) + 1
-            starts, ends = np.concatenate(([0], edge)), np.concatenate((edge, [len(fp)]))
-            a, b = [], []
-            for s, e in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist()):
-                order = np.argsort(gray_rank(fp[s:e]))
-                codes, own = fp[s:e][order], ids[s:e][order]
-                for k, r in enumerate(_spanning(len(codes), _near_in_node(codes, max_bits))):
-                    if r != k:
-                        a.append(own[r])
-                        b.append(own[k])
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-        kept = None
+        """Rows come by block, its own segments before those that visit it."""
+        name, parts, own, root = None, [], None, None
+
+        def links(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+
+        def close() -> Iterator[pa.RecordBatch]:
+            """The block is whole: its codes' tree, and what links them among themselves."""
+            nonlocal own, root, parts
+            if not parts:
+                return
+            own, parts = Tree(np.concatenate(parts)), []
+            root, held = np.arange(len(own.codes)), []
+
+            def merge() -> None:
+                nonlocal root, held
+                root = _roots(len(root), np.concatenate([np.arange(len(root)), *(i for i, _ in held)]), np.concatenate([root, *(j for _, j in held)]))
+                held = []
+
+            for found in near_pairs(own, own, max_bits):
+                held.append(found)
+                if sum(len(i) for i, _ in held) > len(root) + FRONTIER or len(held) > FRONTIER:
+                    merge()
+            merge()
+            tied = np.flatnonzero(root != np.arange(len(root)))
+            yield links(own.codes[root[tied]], own.codes[tied])
+
+        def visit(segment: np.ndarray) -> pa.RecordBatch:
+            """Of a visitor's links into one group of the block, one is enough."""
+            ties = [np.unique(np.stack([i, root[j]], axis=1), axis=0) for i, j in near_pairs(Tree(segment), own, max_bits) if len(i)]
+            tie = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *ties]), axis=0)
+            return links(segment[tie[:, 0]], own.codes[tie[:, 1]])
+
         for batch in batches:
-            cols = [np.asarray(batch.column(k)) for k in range(4)]
-            cols[1], cols[2] = cols[1].view(np.uint64), cols[2].view(np.uint64)
-            if kept is not None:
-                cols = [np.concatenate(x) for x in zip(kept, cols)]
-            if not len(cols[0]):
-                continue
-            last = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]))
-            cut = int(last[-1]) + 1 if len(last) else 0
-            kept = [x[cut:] for x in cols]
-            if cut:
-                yield found(*(x[:cut] for x in cols))
-        if kept is not None:
-            yield found(*kept)
+            for block, visits, codes in zip(batch.column("block").to_pylist(), batch.column("visits").to_pylist(), batch.column("codes")):
+                if block != name:
+                    yield from close()
+                    name, own = block, None
+                segment = np.frombuffer(codes.as_buffer(), np.uint64)
+                if not visits:
+                    parts.append(segment)
+                    continue
+                yield from close()
+                yield visit(segment)
+        yield from close()
 
     return search
 
 
-def near_fingerprints(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """Links (a, b) of ids that connect all fingerprints with at most max_bits different bits.
+def near_fingerprints(codes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """Links (a, b) that connect all fingerprints of codes (fp long, distinct) with at most max_bits different bits.
 
-    prints: (id long, fp long), fp distinct.  Every code stands under 28 upper nodes, one
-    for each way to leave two bytes free; codes within two bits meet under at least one.
-    A node's codes differ only in 16 bits, so it never holds more than 65,536 of
-    them, however large a group of near copies is.  Within a node the codes are put in
-    Gray order and searched leaf by leaf.  Of the pairs found in a node a spanning
-    forest is returned, which keeps every component and not all pairs.
+    Codes are put in Gray order by range partitions and cut into blocks of neighbours.
+    The blocks' shared patterns, at most BLOCKS of them, are the top of the index and go
+    to every task; a segment of codes is sent to the blocks that these do not prune, and
+    each block searches its own tree for its codes and its visitors.  Of the pairs found
+    a spanning forest is returned, which keeps every component and not all pairs.
+    Blocks hold equal shares of the codes, so a dense group of near copies is spread over
+    as many blocks as its codes fill.
     """
-    if max_bits > 2:
-        raise ValueError("the upper nodes are complete for at most two different bits")
-    masks = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m) for m in MASKS])
-    nodes = prints.select(F.posexplode(masks).alias("mask", "bits"), "id", "fp")
-    nodes = nodes.select("mask", F.col("fp").bitwiseAND(F.col("bits")).alias("pattern"), "fp", "id")
-    spread = nodes.repartition("mask", "pattern").sortWithinPartitions("mask", "pattern")
-    return spread.mapInArrow(_links(max_bits), "a long, b long").distinct()
+    n = codes.count()
+    bits = min(max((n >> 6).bit_length(), BLOCK_BITS[0]), BLOCK_BITS[1])
+    block = max(1 << bits, -(-n // (BLOCKS * SEGMENT)) * SEGMENT)
+    in_order = codes.select("fp", gray_rank(F.col("fp")).alias("rank")).repartitionByRange(max(1, n // block), "rank").sortWithinPartitions("rank")
+    segments = written(in_order.select("fp").mapInArrow(_segments(block), "block long, every long, some long, codes binary"), "segments")
+    tops = segments.groupBy("block").agg(F.bit_and("every").alias("every"), F.bit_or("some").alias("some")).orderBy(gray_rank(F.col("block"))).collect()
+    names, every, some = (np.array([r[k] for r in tops], np.int64) for k in range(3))
+    sent = segments.mapInArrow(_routes(names, every.view(np.uint64), some.view(np.uint64), max_bits), "block long, visits boolean, codes binary")
+    return sent.repartition("block").sortWithinPartitions("block", "visits").mapInArrow(_search(max_bits), "a long, b long")
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
@@ -180,8 +313,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str, max_bits: int, rank
     """fingerprints() of docs with least: the smallest value of ranked in the row's component."""
     prints = written(fingerprints(docs, id_col, text_col, hashed), "fingerprints")
     nodes = written(prints.groupBy("fp").agg(F.min(ranked).alias("id")), "codes")
-    linkable = nodes.select(F.col("fp").alias("id"), "fp")
-    groups = written(connected_components(near_fingerprints(linkable, max_bits)), "components")
+    groups = written(connected_components(near_fingerprints(nodes.select("fp"), max_bits)), "components")
     named = groups.join(nodes, groups["node"] == nodes["fp"]).groupBy("component").agg(F.min("id").alias("least"))
     named = written(named, "least")  # so that a large component's rows can be split among tasks in the join
     of_code = nodes.join(groups, nodes["fp"] == groups["node"], "left").join(named, "component", "left")
