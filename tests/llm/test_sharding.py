@@ -56,6 +56,26 @@ def test_order_is_mixed_and_seeded(spark):
     assert 1200 < sum(one[:750]) / 750 < 1800
 
 
+def test_one_seed_gives_one_order_however_the_table_is_split(spark):
+    rows = [(None if k % 5 == 0 else k % 400, "same" if k % 3 == 0 else f"text {k}") for k in range(1500)] + [(7, "often")] * 700 + [(k, "twice") for k in (1, 2, 3) * 2]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    orders = []
+    for parts in (1, 5, 64):
+        dealt = S.shard_rows(df.orderBy(F.rand(parts)).repartition(parts), S.record_bytes(F.col("text")), ["doc_id"]).collect()
+        check([(r.shard, r.slot) for r in dealt], len(rows))
+        orders.append([(r.record.doc_id, r.record.text) for r in sorted(dealt, key=lambda r: (r.shard, r.slot))])
+    assert orders[0] == orders[1] == orders[2] and sorted(map(str, orders[0])) == sorted(map(str, rows))
+    # equal rows lie apart, whether they are many or few
+    often = [k for k, r in enumerate(orders[0]) if r == (7, "often")]
+    assert sum(b - a == 1 for a, b in zip(often, often[1:])) < 350 and often[-1] - often[0] > 2000
+
+
+def test_nulls_and_maps_count_in_the_order(spark):
+    df = spark.createDataFrame([(None, "a"), ("a", None), (None, None), ("", None)] * 3, "x string, y string").withColumn("m", F.create_map(F.lit("k"), "y"))
+    got = S.external_shuffle(df, S.record_bytes(F.col("x")), ["x"])
+    assert sorted((str(r.record.x), str(r.record.y)) for r in got.collect()) == sorted((str(r.x), str(r.y)) for r in df.collect())
+
+
 def test_write_shards(spark, sf, tmp_path, docs):
     dealt = S.shard_rows(docs.select("doc_id", "text"), S.record_bytes(F.col("text")), ["doc_id"])
     S.write_shards(dealt, f"file://{tmp_path}/shards")
