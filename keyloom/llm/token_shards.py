@@ -25,6 +25,7 @@ STRIDE = 4 + 2 * LENGTH  # a record: used tokens as an unsigned 32-bit number, t
 PER_SHARD = 4096
 PER_TASK = 16_384  # records that a task puts in order, about 32 MB
 PER_BLOCK = 256  # records of a row of a shard
+TEXT_BYTES = 256 << 20  # of a range of documents that is numbered in one go
 KEY = 0x5EED_0F_0EDE
 ROUNDS = 6
 #: Of a block of a shard; its shard is the folder it stands in.
@@ -99,13 +100,26 @@ def slot_of(index: Column, n: int, key: int = KEY) -> Column:
     return F.pandas_udf(slots, "long")(index)
 
 
+def in_order(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) in ranges of doc_id, then the text's hash, each range sorted.
+
+    Rows of one id and text come in any order, as nothing tells them apart; their place
+    in the input parts them into ranges, so that many of them are not one task's work.
+    """
+    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    ranges = max(4 * docs.sparkSession.sparkContext.defaultParallelism, -(-size // TEXT_BYTES))
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("at"))
+    return rows.repartitionByRange(ranges, "doc_id", "hash", "at").sortWithinPartitions("doc_id", "hash").select("doc_id", "text")
+
+
 def numbered(table: DataFrame) -> tuple[DataFrame, int]:
-    """A written table with a gapless index from 0, and its rows.
+    """A table written in order, with a gapless index from 0 in that order, and its rows.
 
     A row's index is its place in its file after the rows of the files before it, so
-    that only one row a file is put in order.  The files are written once and for all.
+    that only one row a file is put in order.  Files go by their parts' numbers.
     """
-    rows = table.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    part = F.regexp_extract(F.col("_metadata.file_name"), "^part-([0-9]+)", 1).cast("long")
+    rows = table.select("*", part.alias("file"), F.col("_metadata.row_index").alias("at"))
     sizes = written(rows.groupBy("file").agg(F.count(F.lit(1)).alias("rows")), "files")
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("file", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("first"))
@@ -141,14 +155,16 @@ def training_order(docs: DataFrame, ranks: str = RANKS, length: int = LENGTH, en
 
     A document's ids, then end_id, are cut into sequences of `length` tokens; the last is
     padded with end_id and n_tokens tells its own.  record has a fixed stride of 4 + 2 x
-    length bytes.  slot is the sequence's place in training order, a keyed permutation of
-    0 .. n-1 without gaps.
-
-    A null or empty text is one sequence of the end id alone.  Null ids and repeated rows
-    get sequences of their own; ties need no rule, as a row's place in the written table
-    counts.  An empty table gives no rows.  Other columns are not read.
+    length bytes.  slot is the sequence's place in training order: its place among all
+    sequences by document id, text and part, put through a keyed permutation of 0 .. n-1
+    without gaps.  The same documents and key give the same order, however the table is
+    split.
+
+    A null or empty text is one sequence of the end id alone.  Null ids, which come first,
+    and repeated rows get sequences of their own; rows of the same id and text share
+    their places in any way.  An empty table gives no rows.  Other columns are not read.
     """
-    thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    thin = in_order(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     table = written(thin.mapInArrow(_records(ranks, length, end_id), "doc_id long, part int, n_tokens int, record binary"), "sequences", compression=CODEC)
     rows, n = numbered(table)
     return rows.select("doc_id", "part", "n_tokens", "record", slot_of(F.col("index").cast("long"), n, key).alias("slot"))

@@ -7,6 +7,7 @@ from pathlib import Path
 import numpy as np
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 from keyloom.llm import piece_sampling as G
 from keyloom.llm import token_shards as T
@@ -123,7 +124,7 @@ def restored(ordered, spark, path, length=T.LENGTH):
 
 
 def test_shards_round_trip(spark, docs, texts, tmp_path):
-    ordered = G.written(T.training_order(docs), "o") if hasattr(G, "written") else T.written(T.training_order(docs), "o")
+    ordered = T.written(T.training_order(docs), "o")
     path = f"file://{tmp_path}/shards"
     got, read = restored(ordered, spark, path)
     encoding = T._encoding(T.RANKS)
@@ -143,6 +144,35 @@ def test_order_edges(spark, edges, nothing, edge_texts):
     assert T.training_order(nothing).count() == 0
 
 
+def test_one_key_gives_one_order_however_the_table_is_split(spark, edges, edge_texts):
+    rows = [(None if k % 7 == 0 else k % 90, f"text number {k % 100} " * (k % 40)) for k in range(300)] + [(5, "again and again")] * 200 + [(k, t) for k, t in edge_texts if t and len(t) < 60_000]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    orders = []
+    for parts in (1, 5, 64):
+        got = T.training_order(df.orderBy(F.rand(parts)).repartition(parts)).collect()
+        orders.append(sorted((r.slot, r.doc_id, r.part, r.n_tokens, bytes(r.record)) for r in got))
+        assert [o[0] for o in orders[-1]] == list(range(len(got)))
+    assert orders[0] == orders[1] == orders[2] and len(orders[0]) > len(rows)
+
+
+def test_slots_and_records_against_brute_force(spark, sf, texts):
+    """Ids and places made one by one: documents by id, their sequences in turn, then the permutation."""
+    encoding = T._encoding(T.RANKS)
+    want, at = {}, 0
+    n = sum(-(-(len(encoding.encode_ordinary(t)) + 1) // T.LENGTH) for t in texts.values())
+    with np.errstate(over="ignore"):
+        slots = T.permuted(np.arange(n), n)
+    for k in sorted(texts):
+        ids = [*encoding.encode_ordinary(texts[k]), T.END_ID]
+        for part, start in enumerate(range(0, len(ids), T.LENGTH)):
+            own = ids[start : start + T.LENGTH]
+            record = len(own).to_bytes(4, "little") + b"".join(x.to_bytes(2, "little") for x in own + [T.END_ID] * (T.LENGTH - len(own)))
+            want[k, part] = (len(own), int(slots[at]), zlib.crc32(record))
+            at += 1
+    got = {(r.doc_id, r.part): (r.n_tokens, r.slot, r.record_crc32) for r in T.op4_feistel_order(spark, sf).collect()}
+    assert got == want
+
+
 def test_order_query(spark, sf, texts):
     rows = T.op4_feistel_order(spark, sf).collect()
     assert sorted(r.slot for r in rows) == list(range(len(rows))) and {r.doc_id for r in rows} == set(texts)
