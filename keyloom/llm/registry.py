@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from keyloom.llm.embedding_dedup import op2_sign_hashing
+from keyloom.llm.embedding_dedup import OP2_SQL, op2_sign_hashing
 from keyloom.llm.language_id import op5_bidirectional_gru
 from keyloom.llm.packing import op10_best_fit
 from keyloom.llm.piece_sampling import op3_gumbel_top_k
@@ -26,6 +26,6 @@ QUERIES = {
     "op10_best_fit": op10_best_fit,
 }
 
-#: These operators follow learned models, hashes or permutations that SQL cannot
-#: restate; tests/llm holds each against brute force or an exact round trip.
-ORACLE_SQL: dict[str, str] = {}
+#: The others follow learned models, hashes or permutations that SQL cannot restate;
+#: tests/llm holds each against brute force or an exact round trip.
+ORACLE_SQL: dict[str, str] = {"op2_sign_hashing": OP2_SQL}

@@ -2,7 +2,9 @@ from __future__ import annotations
 
 import math
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from keyloom.llm import embedding_dedup as E
@@ -63,6 +65,43 @@ def test_recall_is_kept_as_rows_grow():
         assert 1 - (1 - met) ** tables >= 1 - E.MISSED
 
 
+def test_recall_on_planted_pairs(spark):
+    """3,000 pairs just above the limit among 26,000 vectors; links exact for what is found, none below."""
+    rng = np.random.default_rng(11)
+    base = rng.standard_normal((23_000, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    side = rng.standard_normal((3000, 64))
+    side -= (side * base[:3000]).sum(axis=1, keepdims=True) * base[:3000]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cosine = rng.uniform(0.951, 0.97, (3000, 1))
+    vectors = np.concatenate((base, cosine * base[:3000] + np.sqrt(1 - cosine**2) * side)).astype(np.float32)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+    got = {r.vec_id: r for r in E.embedding_components(df).collect()}
+    assert len(got) == len(vectors)
+    unit = vectors.astype(float) / np.linalg.norm(vectors.astype(float), axis=1, keepdims=True)
+    true = [set(np.flatnonzero(row >= 0.95).tolist()) for at in range(0, len(unit), 2000) for row in unit[at : at + 2000] @ unit.T]
+    pairs = {(a, b) for a, t in enumerate(true) for b in t if a < b}
+    assert len(pairs) >= 3000
+    found = sum(got[a].component_id == got[b].component_id and got[a].n_links > 0 for a, b in pairs)
+    assert found >= 0.99 * len(pairs)
+    # each vector here has one partner at most, so links are its pair or nothing
+    assert all(r.n_links <= len(true[k] - {k}) for k, r in got.items()) and sum(r.n_links for r in got.values()) == 2 * found
+    assert all(r.kept == (k == r.component_id) for k, r in got.items())
+
+
+def test_oracle(spark, sf):
+    con = duckdb.connect()
+    rng = np.random.default_rng(3)
+    centre = rng.standard_normal(8)
+    rows = [(k, (centre + 0.2 * rng.standard_normal(8)).tolist()) for k in range(40)] + [(50, [0.0] * 8), (51, None), (52, [1.0] * 3), (53, [None] * 8), (54, rows_ := [1.0] * 8), (55, rows_)]
+    frame = pd.DataFrame(rows, columns=["vec_id", "embedding"])  # noqa: F841
+    con.execute("create table embeddings as select vec_id, embedding::float[] as embedding from frame")
+    want = con.execute(E.OP2_SQL).fetchall()
+    df = spark.createDataFrame(con.execute("select * from embeddings").fetchall(), "vec_id long, embedding array<float>")
+    got = [(r.vec_id, r.n_links, r.component_id, r.kept) for r in E.embedding_components(df).collect()]
+    assert sorted(got) == sorted(want) and any(r[1] > 1 for r in want)
+
+
 def test_empty_and_repeated(spark):
     schema = "vec_id long, embedding array<float>, class int, vector string, links int"
     assert E.embedding_components(spark.createDataFrame([], schema)).count() == 0
