@@ -24,45 +24,11 @@ RULES = (
     ("net", "/fr/", "block"),
 )
 
-#: A small labelled URL table, (url, blocked).
-LABELLED = (
-    ("https://spam-farm.example.org/en/1", 1),
-    ("http://www.spam-farm.example.org/de/22.html", 1),
-    ("https://cheap-pills.example.org/en/31?page=2", 1),
-    ("http://m.cheap-pills.example.net/de/4/", 1),
-    ("https://pills-online.example.net/buy/now", 1),
-    ("https://casino-bonus.example.org/en/555#top", 1),
-    ("http://best-casino.example.net/win/free-spins", 1),
-    ("https://adult-cams.example.org/xxx/7", 1),
-    ("http://xxx-videos.example.net/hot/12", 1),
-    ("https://free-money.example.org/click/here", 1),
-    ("https://link-farm.example.net/links/900", 1),
-    ("http://seo-spam.example.org/en/17?utm_source=feed", 1),
-    ("https://viagra-shop.example.org/pills/3", 1),
-    ("http://replica-watches.example.net/cheap/8", 1),
-    ("https://malware-drop.example.org/setup.exe", 1),
-    ("http://phishing-login.example.net/verify/account", 1),
-    ("https://payday-loans.example.org/fast/cash", 1),
-    ("https://clickbait-farm.example.net/en/41", 1),
-    ("https://news.example.org/en/2", 0),
-    ("http://blog.travel.example.org/de/18.html", 0),
-    ("https://www.library.example.net/en/70?page=2", 0),
-    ("https://m.recipes.example.org/es/101/", 0),
-    ("http://science.example.net/de/9#top", 0),
-    ("https://museum.example.org/fr/880", 0),
-    ("https://docs.example.net/en/guide/install.html", 0),
-    ("http://www.university.example.org/en/471", 0),
-    ("https://blog.theren.example.org/en/455?utm_source=feed", 0),
-    ("https://thther.example.org/en/685", 0),
-    ("http://thering.example.net/de/328/", 0),
-    ("https://garden.example.net/de/plants/33", 0),
-    ("https://weather.example.org/en/today", 0),
-    ("http://forum.example.net/de/thread/5120?page=4", 0),
-    ("https://history.example.org/es/797#top", 0),
-    ("https://city.example.net/en/council/2020", 0),
-    ("http://m.school.example.org/fr/65.html", 0),
-    ("https://wiki.example.org/en/Main_Page", 0),
-)
+#: The words that labelled_urls makes its hosts of.
+UNWANTED = "casino poker jackpot betting pills viagra pharma replica loans payday crypto adult xxx cams escort spam farm clickbait malware phishing warez torrent keygen cheap bonus win free hot fast easy".split()
+ORDINARY = "news library recipes garden science museum weather forum history city school wiki travel music sport health books maps water bridge river market open daily local world green north home art".split()
+SYLLABLES = "an be con de er fi ga ha in ka li mo na on per qui ra sa ter tion un ver wi xa yo za the st ing ou".split()
+TABLE_ROWS = 800
 
 
 def host_of(url: Column) -> Column:
@@ -124,7 +90,7 @@ def filter_urls(pages: DataFrame, labelled: DataFrame, rules=RULES, url_col: str
     rows.  pages' own columns stay inside record, so that no name can clash.
     """
     model = train(labelled)
-    url = F.col(f"record.{url_col}")
+    url = F.col(f"record.`{url_col}`")
     rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("record"))
     rows = rows.select("record", F.coalesce(host_of(url), F.lit("")).alias("host"), F.coalesce(path_of(url), F.lit("")).alias("path"))
     rows = rows.withColumn("hit", matching_rule(F.col("host"), F.col("path"), rules))
@@ -134,9 +100,28 @@ def filter_urls(pages: DataFrame, labelled: DataFrame, rules=RULES, url_col: str
     return rows.select("record", "host", "path", F.col("hit.rule").alias("rule"), verdict.alias("verdict"), "score")
 
 
-def labelled_urls(spark: SparkSession) -> DataFrame:
-    rows = ", ".join(f"('{url}', {blocked})" for url, blocked in LABELLED)
-    return spark.sql(f"select * from values {rows} as t(url, blocked)")
+def labelled_urls(spark: SparkSession, rows: int = TABLE_ROWS) -> DataFrame:
+    """(url, blocked) rows, half of them unwanted, made from words by seeded hashes of the row number.
+
+    Hosts are two words with a hyphen, or two to three syllables; an unwanted one has two
+    different UNWANTED words, a wanted one ORDINARY words or syllables.  Subdomains, ends,
+    schemes, languages, page numbers and queries are dealt alike to both, so that they
+    tell nothing.  No row comes from a table that is judged.
+    """
+    def pick(words: list[str], salt: int) -> Column:
+        return F.get(F.array(*[F.lit(w) for w in words]), F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(len(words))).cast("int"))
+
+    blocked = (F.col("id") % 2).cast("int")
+    step = F.pmod(F.xxhash64("id", F.lit(2)), F.lit(len(UNWANTED) - 1)) + 1  # to another word
+    second = F.get(F.array(*[F.lit(w) for w in UNWANTED]), F.pmod(F.xxhash64("id", F.lit(1)) + step, F.lit(len(UNWANTED))).cast("int"))
+    bad = F.concat(pick(UNWANTED, 1), F.lit("-"), second)
+    plain = F.concat(pick(ORDINARY, 3), F.lit("-"), pick(ORDINARY, 4))
+    made = F.concat(pick(SYLLABLES, 5), pick(SYLLABLES, 6), pick([*SYLLABLES, *[""] * 20], 7))
+    good = F.when(F.col("id") % 4 == 0, plain).otherwise(made)
+    host = F.concat(pick(["", "www.", "m.", "blog."], 8), F.when(blocked == 1, bad).otherwise(good), pick([".org", ".net", ".com", ".info", ".example.org", ".example.net", ".example.com"], 9))
+    page = F.pmod(F.xxhash64("id", F.lit(10)), F.lit(9999)).cast("string")
+    path = F.concat(F.lit("/"), pick(["en", "de", "es", "fr"], 11), F.lit("/"), page, pick(["", "/", ".html"], 12), pick(["", "#top", "?page=2"], 13))
+    return spark.range(rows).select(F.concat(pick(["http://", "https://"], 14), host, path).alias("url"), blocked.alias("blocked"))
 
 
 def op6_ngram_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import functions as F
+
 from keyloom.llm import url_filter as U
 
 
@@ -45,6 +47,36 @@ def test_learned_verdicts_on_unseen_hosts(spark):
     assert [r.verdict for r in sorted(got, key=lambda r: r.record.page_id)] == ["block"] * 3 + ["allow"] * 3
 
 
+def test_held_out_hosts_and_calibration(spark):
+    """A quarter of the hosts, whole, is held out; then scores must be right and mean what they say."""
+    rows = U.labelled_urls(spark).withColumn("host", U.host_of(F.col("url")))
+    part = F.pmod(F.xxhash64(F.regexp_replace("host", r"^(www|m|blog)[.]", "")), F.lit(4))
+    model_rows, held = rows.where(part != 0), rows.where(part == 0)
+    got = U.filter_urls(held, model_rows, rules=()).select("record.blocked", "score").collect()
+    assert len(got) > 120 and 0.3 < sum(r.blocked for r in got) / len(got) < 0.7
+    right = sum((r.score >= 0.5) == (r.blocked == 1) for r in got) / len(got)
+    brier = sum((r.score - r.blocked) ** 2 for r in got) / len(got)
+    assert right >= 0.95 and brier <= 0.06
+    for low, high in ((0.0, 0.3), (0.7, 1.01)):
+        some = [r for r in got if low <= r.score < high]
+        assert abs(sum(r.score for r in some) / len(some) - sum(r.blocked for r in some) / len(some)) < 0.12
+
+
+def test_nothing_that_is_judged_was_learned(spark):
+    """Neither a URL nor a host, whatever its subdomain, of the judged tables is in the labelled one."""
+    own = U.labelled_urls(spark)
+    assert own.count() == own.distinct().count() == U.TABLE_ROWS
+    name = lambda df: df.select(F.regexp_replace(U.host_of(F.col("url")), r"^(www|m|blog)[.]", "").alias("name"))
+    for sf in ("sf0.001", "sf0.01", "sf0.1"):
+        pages = spark.read.parquet(f"/root/testdata/{sf}/pages.parquet")
+        assert name(own).join(name(pages), "name", "left_semi").isEmpty()
+
+
+def test_a_dotted_column(spark):
+    pages = spark.createDataFrame([(1, "http://example.com/en/1")], "page_id long, `the.url` string")
+    assert U.filter_urls(pages, U.labelled_urls(spark), url_col="the.url").first().rule == "example.com/en/"
+
+
 def test_plan_is_native(spark, sf):
     plan = U.op6_ngram_logistic(spark, sf)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
