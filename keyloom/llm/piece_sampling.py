@@ -30,6 +30,7 @@ TO_UNIT = float(2.0**-53)
 NOISE, FAR = 42.0, 64.0
 DRAWN = 1 << 14  # draws whose rows are held at once
 BELOW_ONE = np.float32(1 - 2.0**-24)
+NEAR_EDGE = np.float32(4e-6)  # where single precision may not tell which arc a draw falls on
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -180,25 +181,46 @@ class Path:
         self.row, self.arc, self.log_p, self.chunk = row, arc, log_p, chunk
 
 
+def _exact_arcs(lattices: Lattices, row: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """The arcs on which draws fall, by sums in double precision."""
+    p = np.exp(lattices.log_p[row].astype(np.float64))
+    c = np.cumsum(p, axis=1)
+    arc = (u[:, None] * c[:, -1:] >= c).sum(axis=1)
+    last = p.shape[1] - 1 - (p[:, ::-1] > 0).argmax(axis=1)
+    return np.minimum(arc, last)
+
+
 def _draw(lattices: Lattices, uids: np.ndarray, start: np.ndarray, seeds: np.ndarray):
     """Finish every chunk from its start by drawn arcs, all chunks a step at a time.
 
+    Arcs are found in single precision; a draw that comes near an edge between two arcs
+    is looked up again in double precision, so that arcs rarer than single precision
+    shows are drawn as often as they should be.
+
     Returns (occurrence, row, arc, log_p) sorted by occurrence, then step.
     """
     base, length = lattices.base[uids], lattices.length[uids]
+    flat, most = lattices.cumulative.ravel(), lattices.cumulative.shape[1]
     live = np.flatnonzero(start < length)
     pos = start.copy()
     who, rows, arcs = [], [], []
     step = 0
     while len(live):
         row = base[live] + pos[live]
-        u = np.minimum(_uniform(seeds[live], U64(step)).astype(np.float32), BELOW_ONE)
+        exact = _uniform(seeds[live], U64(step))
+        u = np.minimum(exact.astype(np.float32), BELOW_ONE)
         arc = np.empty(len(live), np.int64)
         for at in range(0, len(live), DRAWN):
             below = u[at : at + DRAWN, None] >= lattices.cumulative.take(row[at : at + DRAWN], axis=0)
             count = np.bitwise_count(below.view(np.uint64))
             np.add(count[:, 0], count[:, 1], out=arc[at : at + DRAWN])
-        np.minimum(arc, lattices.cumulative.shape[1] - 1, out=arc)
+        np.minimum(arc, most - 1, out=arc)
+        edge = row * most + arc
+        doubt = flat.take(edge) - u <= NEAR_EDGE
+        doubt |= u - flat.take(edge - (arc > 0)) <= NEAR_EDGE
+        doubt = np.flatnonzero(doubt & ~lattices.sole.take(row))
+        if len(doubt):
+            arc[doubt] = _exact_arcs(lattices, row[doubt], exact[doubt])
         who.append(live)
         rows.append(row)
         arcs.append(arc)
@@ -293,9 +315,10 @@ class Sampler:
         u = float(_uniform(np.array([key]), U64(turn), U64(1 << 41))[0])
         arc = int(min(np.searchsorted(c, u * c[-1], side="right"), np.flatnonzero(p)[-1]))
         before = float(path.log_p[:at].sum())
-        after = c[-1] - p[arc]
+        p[arc] = 0
+        after = p.sum()
         others = (*left_out, arc)
-        if after > 1e-12 and (p > 0).sum() > 1:
+        if after > 0:
             v = float(_uniform(np.array([key]), U64(turn), U64(1 << 42))[0])
             value = float(_below(np.array(before + np.log(after)), np.array(top), np.array(v)))
             heapq.heappush(queue, (-value, turn, path, at, others))
@@ -362,7 +385,7 @@ class Sampler:
         sole = lattices.sole[row]
         small = np.flatnonzero((aside < 1e-3) & ~sole)  # where rounding shows, the others are added up
         if len(small):
-            others = np.exp(lattices.log_p[row[small]])
+            others = np.exp(lattices.log_p[row[small]].astype(np.float64))
             others[np.arange(len(small)), arc[small]] = 0
             aside[small] = others.sum(axis=1)
         aside[sole] = 0

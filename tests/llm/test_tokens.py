@@ -67,6 +67,31 @@ def test_draws_follow_the_lattice_without_replacement(sampler):
         assert abs(weight[a] / n - 1) < 0.05
 
 
+def test_rare_arcs_are_drawn_as_often_as_they_should_be(sampler):
+    """Arcs far below single precision, and draws in the sliver that belongs to them."""
+    lattices = G.Lattices(sampler.pieces, [G.SPACE + "ab"])
+    row = int(lattices.base[0])
+    width = lattices.log_p.shape[1]
+    p = np.zeros(width)
+    p[:3] = [1 - 3e-9, 1e-9, 2e-9]
+    lattices.log_p[row] = np.log(np.maximum(p, 1e-300)).astype(np.float32)
+    lattices.log_p[row, 3:] = -np.inf
+    lattices.cumulative[row] = 1
+    u = np.array([0.5, 1 - 4e-9, 1 - 2.5e-9, 1 - 1.5e-9, 1 - 2.0**-53])
+    assert G._exact_arcs(lattices, np.full(5, row), u).tolist() == [0, 0, 1, 2, 2]
+    # the draws of many seeds, pushed into the sliver, come from there
+    n = 1_000_000
+    with np.errstate(over="ignore"):
+        seeds = G._mix(np.arange(n).astype(np.uint64))
+    draws = G._uniform(seeds, np.uint64(0))
+    p[:3] = [1 - 3e-6, 1e-6, 2e-6]
+    lattices.log_p[row, :3] = np.log(p[:3])
+    who, rows, arcs, _ = G._draw(lattices, np.zeros(n, np.int64), np.zeros(n, np.int64), seeds)
+    first = arcs[np.searchsorted(who, np.arange(n))]
+    assert (first == np.searchsorted(np.cumsum(p[:3]), draws, side="right")).mean() > 1 - 1e-6
+    assert (first[draws >= 1 - 2.9e-6] > 0).all()
+
+
 def test_all_ways_of_a_small_text(sampler):
     p = all_ways(sampler, "ab")
     got = sampler.sample(["ab"], np.array([5], np.uint64), 50)[0]
