@@ -43,15 +43,33 @@ def test_stages_keep_good_documents(spark):
     assert len(long_enough - {r.doc_id for r in after.collect()}) <= 1
 
 
-def test_edges_go_through(spark, edges, nothing):
-    for table in (edges, nothing):
+def test_edges_go_through(spark, edges, edge_texts, nothing):
+    """All five stages: what is kept, and that columns and clashing names come through."""
+    found = {}
+    for table, into in ((edges, found), (nothing, {})):
         docs = table
-        for name, stage in C.STAGES[2:-1]:
+        for name, stage in C.STAGES[:-1]:
             docs = written(stage(spark, docs, SF), name)
             assert docs.columns == table.columns
-        C.pack_sequences(spark, docs, SF).count()
-    for stage in (C.identify_language, C.filter_quality):
-        assert stage(spark, nothing, SF).count() == 0
+            into[name] = docs.collect()
+        into["packed"] = C.STAGES[-1][1](spark, docs, SF).collect()
+        assert table is edges or not any(into.values())
+    key = lambda p: str(p)
+    pairs = lambda rows: sorted(((r.doc_id, r.text) for r in rows), key=key)
+    # nothing is labelled with a language: only texts without a letter go
+    assert pairs(found["language_id"]) == sorted(((k, t) for k, t in edge_texts if t and any(c.isalpha() for c in t)), key=key)
+    assert all(r.record == r.spans == r["a b"] == "x" for r in found["language_id"])
+    kept = [(k, t) for k, t in pairs(found["language_id"]) if len(t.split()) >= 20]
+    assert set(pairs(found["quality_rules"])) <= set(kept)
+    # the stages after, on all of the edge table
+    once = C.drop_near_duplicates(spark, edges, SF).collect()
+    assert [r.doc_id for r in once if r.text and r.text.startswith("The same")] == [5]
+    assert sum(r.doc_id is None for r in once) == 2 and {r.doc_id for r in once if r.doc_id} <= {k for k, _ in edge_texts}
+    masked = {r.doc_id: r for r in C.mask_personal_data(spark, edges, SF).collect() if r.doc_id}
+    assert masked[9].text == "[EMAIL] +1 (212) 555-0100 [IP] 4111 1111 1111 1111" and masked[9].n_chars == len(masked[9].text) and masked[1].text is None
+    assert masked[7].text == dict(edge_texts)[7] and masked[2].text == ""
+    packed = C.pack_sequences(spark, edges, SF).collect()
+    assert {r.doc_id for r in packed} == {k for k, _ in edge_texts} and sum(r.piece == 0 for r in packed) == len(edge_texts)
 
 
 def test_operators_are_those_of_the_list():
