@@ -1,4 +1,12 @@
-"""The corpus pipeline: documents through five training-data operators in turn."""
+"""The corpus pipeline: documents through five training-data operators in turn.
+
+Defined cases: a null or empty text has no letter and goes in the first stage, as does
+every text without one.  If no document is labelled with a language, only these go; if no
+quality is labelled, the base rules alone decide.  A null id is kept like any other and
+stays alone in the near-duplicate stage; of rows with equal id and text one stays.  Very
+long texts are read whole, and packing cuts them into pieces.  Other columns, whatever
+their names, come through unchanged up to the last stage.  An empty table gives no rows.
+"""
 
 from __future__ import annotations
 
@@ -6,12 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.llm import language_id, packing, pii, quality, simhash
-from keyloom.llm.common import documents, written
+from keyloom.llm.common import discard, documents, written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a letter or without a likely language."""
     network = language_id.train(docs)
+    if network is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     found = language_id.identify(docs, network)
     sure = (F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= language_id.reject_below(network))
     return found.where(sure).select("record.*")
@@ -55,8 +65,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every stage in turn over documents; what a stage keeps is written before the next."""
-    docs = documents(spark, sf_dir)
+    """Every stage in turn over documents; what a stage keeps is written before the next, and goes after it."""
+    docs, last = documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
+        discard(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)
