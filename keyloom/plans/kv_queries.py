@@ -164,43 +164,80 @@ def ttl_put_delete_fold(spark, d):
     return ttl.ttl_fold(rows, POSITION)
 
 
-def _page_sql(counts: str, size: str, rows: int, examined: int, bytes_: int, source: str = TTL) -> str:
-    return f"""with base as (select *, {counts} as counts from {source} where key >= 100 and key < 9000 order by key limit {examined + 1}),
-page as (select *, row_number() over (order by key) as place, sum(counts::int) over (order by key) as row_no, coalesce(sum(case when counts then {size} else 0 end) over (order by key), 0) as bytes_sum from base),
-marked as (select *, row_no - counts::int < {rows} and bytes_sum <= {bytes_} and place <= {examined} as inside, row_no - counts::int >= {rows} or place > {examined} as is_full from page)"""
+def _walk_sql(counts: str, size: str, rows: int, examined: int, bytes_: int, source: str = TTL, start: int = 100, end: int = 9000) -> str:
+    """A page walked row by row: w has the rows reached, the last one stopped before if stop."""
+    return f"""with recursive base as materialized (select *, row_number() over (order by key) as i, {counts} as counts, {size} as size from {source} where key >= {start} and key < {end}),
+w as (select 0::bigint as i, null::bigint as key, false as taken, false as stop, 0::bigint as n, 0::bigint as used
+union all select b.i, b.key, b.counts and w.used + b.size <= {bytes_}, b.counts and w.used + b.size > {bytes_}, w.n + (b.counts and w.used + b.size <= {bytes_})::int, w.used + case when b.counts and w.used + b.size <= {bytes_} then b.size else 0 end
+from w join base b on b.i = w.i + 1 where not w.stop and w.i < {examined} and w.n < {rows})"""
+
+
+def _cursor_sql(rows: int, examined: int) -> str:
+    more = f"(stop or i = {examined} or n = {rows})"
+    return f" select n as n_rows, i as n_examined, case when {more} then key end as resume_key, case when {more} then stop end as resume_inclusive from w order by i desc limit 1"
 
 
 SEEN = f"(expires_at_ms is null or expires_at_ms > {WATERMARK})"
+SCAN_SIZE, RECORD_SIZE, KEY_SIZE = "strlen(key::varchar) + strlen(value) + 16", "strlen(key::varchar) + 68", "strlen(key::varchar) + 5"
+RECORDS = f"(select * from {TTL} where expires_at_ms is not null)"
+
+
+@queries.add(f"select key, value from {TTL} where key = 33 and {SEEN}")
+def ttl_get(spark, d):
+    return ttl.get(_expiring(spark, d), 33, WATERMARK).select("key", "value")
+
+
+@queries.add(f"select w.pos::bigint as pos, w.key::bigint as key, k.key is not null as found, k.value from {WANTED} left join (select * from {TTL} where {SEEN}) k on k.key = w.key")
+def ttl_batch_get(spark, d):
+    return ttl.batch_get(_expiring(spark, d), KEYS, WATERMARK).withColumn("pos", F.col("pos").cast("long"))
 
 
-@queries.add(_page_sql(SEEN, "strlen(key::varchar) + strlen(value) + 16", 20, 200, 420) + " select key, value from marked where inside and counts")
+@queries.add(_walk_sql(SEEN, SCAN_SIZE, 20, 200, 420) + " select b.key, b.value from w join base b using (i) where taken")
 def ttl_scan_page(spark, d):
     return ttl.scan_page(_expiring(spark, d), 100, 9000, WATERMARK, 20, 200, 420)
 
 
-@queries.add(_page_sql(SEEN, "strlen(key::varchar) + strlen(value) + 16", 20, 200, 420) + """, got as (select count(*) filter (inside and counts) as n_visible, count(*) filter (inside) as n_examined, max(key) filter (inside) as last_in, min(key) filter (not inside) as stop, arg_min(is_full, key) filter (not inside) as stop_full from marked)
-select n_visible, n_examined, case when stop is not null and not stop_full then stop else last_in end as resume_key, stop is not null and not stop_full as resume_inclusive from got""")
+@queries.add(_walk_sql(SEEN, SCAN_SIZE, 20, 200, 420) + _cursor_sql(20, 200))
 def ttl_scan_cursor(spark, d):
+    """Stopped by bytes: the cursor is the row that was not returned."""
     return ttl.scan_cursor(_expiring(spark, d), 100, 9000, WATERMARK, 20, 200, 420)
 
 
-@queries.add(_page_sql(f"not {SEEN}", "strlen(key::varchar) + 68", 15, 100, 2000, f"(select * from {TTL} where expires_at_ms is not null)") + " select key, expires_at_ms from marked where inside and counts")
+@queries.add(_walk_sql(SEEN, SCAN_SIZE, 1000, 4096, 100_000, start=100, end=300) + _cursor_sql(1000, 4096))
+def ttl_scan_last_page(spark, d):
+    """The range ends first: no cursor."""
+    return ttl.scan_cursor(_expiring(spark, d), 100, 300, WATERMARK, 1000, 4096, 100_000)
+
+
+@queries.add(_walk_sql(f"not {SEEN}", RECORD_SIZE, 15, 100, 2000, RECORDS) + " select b.key, b.expires_at_ms from w join base b using (i) where taken")
 def ttl_cleanup_page(spark, d):
     return ttl.cleanup_page(_expiring(spark, d), 100, 9000, WATERMARK, 15, 100, 2000)
 
 
-@queries.add(f"select key, value, expires_at_ms from {TTL} t where not exists (select 1 from {TTL} o where o.key = t.key and o.key % 2 = 0 and o.expires_at_ms + (o.key % 4) // 2 is not distinct from t.expires_at_ms and not (t.expires_at_ms is null or t.expires_at_ms > {WATERMARK}))")
+@queries.add(_walk_sql(f"not {SEEN}", RECORD_SIZE, 15, 100, 2000, RECORDS) + _cursor_sql(15, 100))
+def ttl_cleanup_cursor(spark, d):
+    return ttl.cleanup_cursor(_expiring(spark, d), 100, 9000, WATERMARK, 15, 100, 2000)
+
+
+@queries.add(f"select key, value, expires_at_ms, key % 5 as expiry_idx from {TTL} t where not exists (select 1 from {TTL} o where o.key = t.key and o.key % 2 = 0 and o.expires_at_ms + (o.key % 4) // 2 is not distinct from t.expires_at_ms and (o.key % 5) * (o.key % 3 <> 0)::int = t.key % 5 and not (t.expires_at_ms is null or t.expires_at_ms > {WATERMARK}))")
 def ttl_cleanup_apply(spark, d):
-    kv = _expiring(spark, d)
+    """A record written again with the same deadline, at another position, stays."""
+    kv = _expiring(spark, d).withColumn("expiry_idx", F.col("key") % 5)
     observed = kv.where("key % 2 = 0").withColumn("expires_at_ms", F.expr("expires_at_ms + (key % 4) div 2"))
+    observed = observed.withColumn("expiry_idx", F.when(F.col("key") % 3 != 0, F.col("expiry_idx")).otherwise(0))
     return ttl.cleanup_apply(kv, observed, WATERMARK)
 
 
-@queries.add(_page_sql("true", "strlen(key::varchar) + 5", 50, 50, 300) + " select key from marked where inside")
+@queries.add(_walk_sql("true", KEY_SIZE, 50, 50, 300) + " select key from w where taken")
 def ttl_delete_page(spark, d):
     return ttl.delete_page(_expiring(spark, d), 100, 9000, 50, 300)
 
 
+@queries.add(_walk_sql("true", KEY_SIZE, 50, 50, 300) + _cursor_sql(50, 50))
+def ttl_delete_cursor(spark, d):
+    return ttl.delete_cursor(_expiring(spark, d), 100, 9000, 50, 300)
+
+
 @queries.add()
 def range_checksum_fnv(spark, d):
     return folds.range_checksums(kv_orders(spark, d))

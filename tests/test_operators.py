@@ -75,39 +75,68 @@ def test_overlay_hides_and_shows(spark):
 
 
 def page_model(rows, start, end, wm, n, examined, size):
+    """(rows, examined, cursor, inclusive): one row after another, the cursor None at the range's end."""
     out, seen, used, last = [], 0, 0, None
-    for key, value, exp in rows:
-        if not (key >= start and (end is None or key < end)):
-            continue
-        if seen == examined or len(out) == n:
-            return out, last, False
+    inside = iter([r for r in rows if r[0] >= start and (end is None or r[0] < end)])
+    while seen < examined and len(out) < n:
+        row = next(inside, None)
+        if row is None:
+            return out, seen, None, None
+        key, value, exp = row
+        seen, last = seen + 1, key
         if exp is None or exp > wm:
             cost = len(str(key)) + len(value) + 16
             if used + cost > size:
-                return out, key, True
+                return out, seen, key, True
             out.append((key, value))
             used += cost
-        seen, last = seen + 1, key
-    return out, last, False
+    return out, seen, last, False
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", range(6))
 def test_ttl_page_equals_model(spark, seed):
     r = random.Random(seed)
     rows = [(k, "v" * r.randrange(1, 9), r.choice([None, 5, 50])) for k in sorted(r.sample(range(200), 60))]
     kv = frame(spark, rows, "key long, value string, expires_at_ms long")
-    args = (20, 150, 10, r.randrange(1, 20), r.randrange(1, 40), r.randrange(40, 400))
+    args = (20, 150, 10, r.randrange(1, 20), r.randrange(1, 40), r.randrange(40, 400)) if seed < 4 else (20, 60, 10, 50, 50, 4000)
     got = ttl.scan_page(kv, *args).orderBy("key").collect()
     cur = ttl.scan_cursor(kv, *args).first()
-    want, last, inclusive = page_model(rows, *args)
+    want, seen, last, inclusive = page_model(rows, *args)
     assert [tuple(x) for x in got] == want
-    assert (cur.resume_key, cur.resume_inclusive) == (last, inclusive)
+    assert (cur.n_rows, cur.n_examined, cur.resume_key, cur.resume_inclusive) == (len(want), seen, last, inclusive)
+
+
+def test_pages_join_to_the_whole_range(spark):
+    """Binary keys of different lengths, read page by page until there is no cursor."""
+    keys = [bytes([a]) + b"\x00" * b for a in (1, 2, 255) for b in range(4)]
+    kv = frame(spark, [(k, "v", 1 if n % 3 == 0 else None) for n, k in enumerate(keys)], "key binary, value string, expires_at_ms long")
+    at, read, turns = b"", [], 0
+    while at is not None:
+        read += [bytes(r.key) for r in ttl.scan_page(kv, at, b"\xff\x00\x00", 10, 2, 3, 60).orderBy("key").collect()]
+        cur = ttl.scan_cursor(kv, at, b"\xff\x00\x00", 10, 2, 3, 60).first()
+        at = None if cur.resume_key is None else bytes(cur.resume_key) + (b"" if cur.resume_inclusive else b"\x00")
+        turns += 1
+    assert read == [k for n, k in enumerate(keys) if n % 3 and k < b"\xff\x00\x00"] and turns >= 4
+
+
+def test_budgets_must_be_positive(spark):
+    kv = frame(spark, [(1, "v", 1)], "key long, value string, expires_at_ms long")
+    for page in (lambda: ttl.scan_page(kv, 0, None, 10, 0, 3, 100), lambda: ttl.cleanup_page(kv, 0, None, 10, 3, 0, 100), lambda: ttl.delete_page(kv, 0, None, 3, 0)):
+        with pytest.raises(ValueError):
+            page()
+
+
+def test_cleanup_needs_the_same_record(spark):
+    schema = "key long, value string, expires_at_ms long, expiry_term long, expiry_idx long"
+    kv = frame(spark, [(1, "a", 5, 1, 1), (2, "b", 5, 1, 9), (3, "c", 50, 1, 3)], schema)
+    seen = frame(spark, [(1, "", 5, 1, 1), (2, "", 5, 1, 2), (3, "", 50, 1, 3)], schema)
+    assert sorted(r.key for r in ttl.cleanup_apply(kv, seen, 10).collect()) == [2, 3]
 
 
 def test_all_expired_page_has_a_cursor(spark):
     kv = frame(spark, [(k, "v", 1) for k in range(5)], "key long, value string, expires_at_ms long")
     cur = ttl.scan_cursor(kv, 0, None, 10, 3, 3, 100).first()
-    assert (cur.n_visible, cur.resume_key, cur.resume_inclusive) == (0, 2, False)
+    assert (cur.n_rows, cur.resume_key, cur.resume_inclusive) == (0, 2, False)
 
 
 def test_oversized_row_is_an_error(spark):
