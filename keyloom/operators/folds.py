@@ -13,6 +13,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keyloom.operators.ordering import placed
+from keyloom.operators.reads import encoded
+
 
 def ordered_fold(df: DataFrame, by: list[str], order: list[str], start: Callable, step: Callable, schema: str) -> DataFrame:
     """A row for each row of df: by, order and what step(state, row) returns beside the next state."""
@@ -144,16 +147,18 @@ def fnv1a(data: bytes, state: int = FNV_START) -> int:
 
 
 def range_checksums(kv: DataFrame, page: int = 512) -> DataFrame:
-    """(page, n, checksum): 64-bit FNV-1a over key and value text in key order, page by page.
+    """(page, n, checksum): 64-bit FNV-1a over key and value bytes in key order, page by page.
 
-    The hash runs through its input in order, so it is taken over pages of neighbouring
-    keys, which any number of tasks work on.
+    The hash runs through its input in order, so it is taken over pages of so many
+    neighbouring rows, which any number of tasks work on.
     """
-    rows = kv.select(F.floor(F.col("key") / page).alias("page"), "key", F.col("value").cast("string").alias("text"))
+    kinds = dict(kv.dtypes)
+    body = F.unhex(F.concat(encoded(F.col("key"), kinds["key"]), encoded(F.col("value"), kinds["value"])))
+    rows = placed(kv.select("key", body.alias("body")), ["key"]).select(F.expr(f"place div {page}").alias("page"), "place", "body")
 
     def step(state, row):
-        state = fnv1a(f"{row.key}{row.text}".encode(), state)
+        state = fnv1a(row.body, state)
         return state, (f"{state:016x}",)
 
-    running = ordered_fold(rows, ["page"], ["key"], lambda row: FNV_START, step, "checksum string")
-    return running.groupBy("page").agg(F.count(F.lit(1)).alias("n"), F.max_by("checksum", "key").alias("checksum"))
+    running = ordered_fold(rows, ["page"], ["place"], lambda row: FNV_START, step, "checksum string")
+    return running.groupBy("page").agg(F.count(F.lit(1)).alias("n"), F.max_by("checksum", "place").alias("checksum"))

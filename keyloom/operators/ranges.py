@@ -7,27 +7,35 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from keyloom.functions.keys import exact_epoch, in_range
+from keyloom.operators.ordering import carried, placed, running
 
-BROADCAST_RANGES = 100_000
+MAX_SPLIT_KEY = 1024  # bytes
+
+BROADCAST_RANGES = 2_000  # each key looks at all ranges of its keyspace
 
 
 def route(keys: DataFrame, ranges: DataFrame, most: int = BROADCAST_RANGES) -> DataFrame:
     """keys (keyspace_id, key, ...) with the range that owns each; range_id null if none does.
 
-    While the ranges are few they are sent to every task and joined on the keyspace with
-    the bounds as residual.  Beyond that bound, the last start at or below a key is found
-    by one pass over keys and starts in order, a bucket of a keyspace's keys at a time.
+    The range with the last start at or below a key (the greatest range_id of equal
+    starts) owns it if the key is before that range's end; so a key has one owner at most,
+    even where ranges overlap.  While the ranges are few they are sent to every task, each
+    up to the next one's start; beyond, keys and starts are put in one order by ranges of
+    it.  Both ways give the same rows, for numbers, strings and bytes.
     """
     bounds = ranges.select("range_id", F.col("keyspace_id").alias("ks"), "start", "end")
     if bounds.limit(most + 1).count() <= most:
-        owner = (keys["keyspace_id"] == F.col("ks")) & in_range(keys["key"], F.col("start"), F.col("end"))
-        return keys.join(F.broadcast(bounds), owner, "left").select(keys["*"], "range_id")
-    starts = bounds.select(F.col("ks").alias("keyspace_id"), F.col("start").alias("key"), F.struct("range_id", "end").alias("owner"))
-    asked = keys.select("keyspace_id", "key").distinct().withColumn("owner", F.lit(None).cast(starts.schema["owner"].dataType))
-    so_far = Window.partitionBy("keyspace_id").orderBy("key", F.col("owner").isNull()).rowsBetween(Window.unboundedPreceding, 0)
-    found = starts.unionByName(asked).withColumn("last", F.last("owner", ignorenulls=True).over(so_far)).where("owner is null")
-    inside = F.when(F.col("last.end").isNull() | (F.col("key") < F.col("last.end")), F.col("last.range_id"))
-    return keys.join(found.select("keyspace_id", "key", inside.alias("range_id")), ["keyspace_id", "key"], "left").select(*[keys[c] for c in keys.columns], "range_id")
+        order = Window.partitionBy("ks").orderBy("start", "range_id")
+        spans = bounds.withColumn("next", F.lead("start").over(order))
+        met = (keys["keyspace_id"] == F.col("ks")) & in_range(keys["key"], F.col("start"), F.col("next"))
+        owner = F.when(F.col("end").isNull() | (keys["key"] < F.col("end")), F.col("range_id"))
+        return keys.join(F.broadcast(spans), met, "left").select(keys["*"], owner.alias("range_id"))
+    starts = bounds.select(F.col("ks").alias("keyspace_id"), F.col("start").alias("key"), F.struct("ks", "range_id", "end").alias("owner"), F.lit(0).alias("asked"))
+    asked = keys.select("keyspace_id", "key").distinct().select("*", F.lit(None).cast(starts.schema["owner"].dataType).alias("owner"), F.lit(1).alias("asked"))
+    found = carried(starts.unionByName(asked), ["keyspace_id", "key", "asked", F.col("owner.range_id")], "owner").where("asked = 1")
+    inside = (F.col("owner.ks") == F.col("keyspace_id")) & (F.col("owner.end").isNull() | (F.col("key") < F.col("owner.end")))
+    found = found.select("keyspace_id", "key", F.when(inside, F.col("owner.range_id")).alias("range_id"))
+    return keys.join(found, ["keyspace_id", "key"], "left").select(*[keys[c] for c in keys.columns], "range_id")
 
 
 def permit(batch_keys: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -74,30 +82,28 @@ def partition_check(ranges: DataFrame, slice_only: bool = False, first=None) ->
 
 
 def overlaps(ranges: DataFrame) -> DataFrame:
-    """(keyspace_id, left, right) of neighbours in start order where one reaches into a later one.
+    """(keyspace_id, left, right) of all pairs of ranges that share a key, the one that starts first on the left.
 
-    The furthest end so far stands for all earlier ranges, so no two ranges are compared
-    but neighbours.
+    Starts and ends are put in one order and starts are counted: a range overlaps the
+    starts counted between its own and its end, so that no pair is looked at in vain.
     """
-    order = Window.partitionBy("keyspace_id").orderBy("start", "range_id").rowsBetween(Window.unboundedPreceding, -1)
-    reach = F.max(F.struct(F.col("end").isNull().alias("open"), "end", "range_id")).over(order)
-    rows = ranges.withColumn("reach", reach).where(F.col("reach").isNotNull() & (F.col("reach.open") | (F.col("reach.end") > F.col("start"))))
-    return rows.select("keyspace_id", F.col("reach.range_id").alias("left"), F.col("range_id").alias("right"))
+    some = ranges.where("end is null or end > start")
+    start = some.select("keyspace_id", F.lit(False).alias("open"), F.col("start").alias("key"), F.lit(1).cast("long").alias("begins"), "range_id")
+    end = some.select("keyspace_id", F.col("end").isNull().alias("open"), F.col("end").alias("key"), F.lit(0).cast("long").alias("begins"), "range_id")
+    counted = running(start.unionByName(end), ["keyspace_id", "open", "key", "begins", "range_id"], "begins")
+    first = counted.where("begins = 1").select("keyspace_id", "range_id", F.col("upto").alias("own"))
+    last = counted.where("begins = 0").select("keyspace_id", "range_id", F.col("upto").alias("last"))
+    over = first.join(last, ["keyspace_id", "range_id"]).where("last > own")
+    met = over.select("keyspace_id", F.col("range_id").alias("left"), F.explode(F.expr("sequence(own + 1, last)")).alias("own"))
+    return met.join(first.select("own", F.col("range_id").alias("right")), "own").select("keyspace_id", "left", "right")
 
 
 def median_key(sizes_from: DataFrame, by: list[str]) -> DataFrame:
-    """(by, n, split_key): the key at place n div 2 in order, if n >= 2 and it is not the first.
-
-    Ranks are counted by blocks of keys, so that a large range is not one task's.
-    """
-    rows = sizes_from.select(*by, "key").withColumn("block", F.floor(F.col("key") / 4096))
-    blocks = rows.groupBy(*by, "block").agg(F.count(F.lit(1)).alias("c"), F.min("key").alias("least"))
-    order = Window.partitionBy(*by).orderBy("block")
-    marked = blocks.withColumn("upto", F.sum("c").over(order)).withColumn("n", F.sum("c").over(Window.partitionBy(*by))).withColumn("first", F.min("least").over(Window.partitionBy(*by)))
-    target = F.expr("n div 2")
-    hit = marked.where((F.col("upto") > target) & (F.col("upto") - F.col("c") <= target)).select(*by, "block", "n", "first", (target - F.col("upto") + F.col("c")).alias("want"))
-    inner = rows.join(hit, [*by, "block"]).withColumn("rank", F.row_number().over(Window.partitionBy(*by, "block").orderBy("key")) - 1)
-    return inner.where((F.col("rank") == F.col("want")) & (F.col("n") >= 2) & (F.col("key") > F.col("first"))).select(*by, "n", F.col("key").alias("split_key"))
+    """(by, n, split_key): the key at place n div 2 in order, if n >= 2 and it is not the first."""
+    rows = placed(sizes_from.select(*by, "key"), [*by, "key"])
+    groups = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"), F.min("key").alias("least"))
+    hit = (F.col("place") == F.expr("first + n div 2")) & (F.col("n") >= 2) & (F.col("key") > F.col("least"))
+    return rows.join(groups, by).where(hit).select(*by, "n", F.col("key").alias("split_key"))
 
 
 def split_plan(ranges: DataFrame, requests: DataFrame, busy: DataFrame) -> DataFrame:
@@ -106,8 +112,10 @@ def split_plan(ranges: DataFrame, requests: DataFrame, busy: DataFrame) -> DataF
     children are [start, key) and [key, end); refused requests have none.
     """
     rows = requests.join(ranges, "range_id", "left").join(busy.select("range_id", F.lit(True).alias("busy")).distinct(), "range_id", "left")
-    inside = in_range(F.col("split_key"), F.coalesce("start", F.lit(-(1 << 62))), F.col("end")) & (F.col("start").isNull() | (F.col("split_key") > F.col("start")))
-    verdict = F.when(F.col("keyspace_id").isNull(), "RegionNotFound").when(F.col("sealed"), "sealed").when(F.coalesce("busy", F.lit(False)), "busy").when(~inside, "outside").otherwise("ok")
+    inside = (F.col("start").isNull() | (F.col("split_key") > F.col("start"))) & (F.col("end").isNull() | (F.col("split_key") < F.col("end")))
+    bytes_ = dict(requests.dtypes)["split_key"] in ("binary", "string")
+    sized = F.octet_length("split_key").between(1, MAX_SPLIT_KEY) if bytes_ else F.lit(True)
+    verdict = F.when(F.col("keyspace_id").isNull(), "RegionNotFound").when(F.col("sealed"), "sealed").when(F.coalesce("busy", F.lit(False)), "busy").when(~sized, "MalformedKey").when(~inside, "outside").otherwise("ok")
     part = lambda a, b: F.struct(a.alias("start"), b.alias("end"))
     children = F.array(part(F.col("start"), F.col("split_key")), part(F.col("split_key"), F.col("end")))
     return rows.select("range_id", "split_key", verdict.alias("verdict"), F.when(verdict == "ok", children).alias("children"))

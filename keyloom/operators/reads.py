@@ -6,11 +6,15 @@ rows of an answer come from the same state.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from keyloom.functions.keys import MAX_BATCH, in_range
+from keyloom.functions.keys import MAX_BATCH, in_range, prefix_successor
+from keyloom.operators.ordering import carried, placed
 
 PAGE = 512
 
@@ -56,52 +60,62 @@ def next_page(kv: DataFrame, last, end=None, limit: int = 100) -> DataFrame:
     return scan(kv.where(F.col("key") > F.lit(last)), None, end, limit)
 
 
-def prefix_scan(kv: DataFrame, prefix: str) -> DataFrame:
-    """String keys with a prefix; the comparison reaches the files."""
-    return kv.where(F.col("key").startswith(prefix))
+def prefix_scan(kv: DataFrame, prefix: str | bytes) -> DataFrame:
+    """Keys with a prefix, strings or bytes; the comparison reaches the files."""
+    if isinstance(prefix, str):
+        return kv.where(F.col("key").startswith(prefix))
+    rows, end = kv.where(F.col("key") >= F.lit(prefix)), prefix_successor(prefix)
+    return rows if end is None else rows.where(F.col("key") < F.lit(end))
 
 
-def seek_le(kv: DataFrame, probes: DataFrame, width: int = 1024) -> DataFrame:
+def seek_le(kv: DataFrame, probes: DataFrame) -> DataFrame:
     """probes (probe) with the greatest key at or below each, and its value; null if none.
 
-    Keys are dealt into buckets of `width`.  A probe looks into its own bucket, and if
-    nothing is below it there, takes the greatest key of the nearest bucket before.
-    Only buckets, not rows, are put in order as a whole.
+    Keys and probes are put in one order by ranges, and each probe takes the last key
+    before it.  Keys may be numbers, strings or bytes.
     """
-    bucket = lambda c: F.floor(F.col(c) / width)
-    rows = kv.select("key", "value", bucket("key").alias("bucket"))
-    asked = probes.select("probe").distinct().withColumn("bucket", bucket("probe"))
-    inside = asked.join(rows, "bucket", "left").groupBy("probe", "bucket").agg(F.max(F.when(F.col("key") <= F.col("probe"), F.struct("key", "value"))).alias("own"))
-    tops = rows.groupBy("bucket").agg(F.max(F.struct("key", "value")).alias("top"))
-    places = tops.select("bucket", "top").unionByName(asked.select("bucket", F.lit(None).cast(tops.schema["top"].dataType).alias("top")).distinct())
-    before = Window.orderBy("bucket").rangeBetween(Window.unboundedPreceding, -1)
-    earlier = places.select("bucket", F.last("top", ignorenulls=True).over(before).alias("before")).groupBy("bucket").agg(F.max("before").alias("before"))
-    hit = F.coalesce("own", "before")
-    found = inside.join(earlier, "bucket").select("probe", hit["key"].alias("key"), hit["value"].alias("value"))
-    return probes.join(found, "probe", "left")
+    have = kv.select("key", F.struct("key", "value").alias("hit"), F.lit(0).alias("asked"))
+    want = probes.select(F.col("probe").alias("key"), F.lit(None).cast(have.schema["hit"].dataType).alias("hit"), F.lit(1).alias("asked")).distinct()
+    found = carried(have.unionByName(want), ["key", "asked"], "hit").where("asked = 1")
+    return probes.join(found.select(F.col("key").alias("probe"), "hit.key", "hit.value"), "probe", "left")
 
 
 def entry_count(kv: DataFrame) -> DataFrame:
     return kv.agg(F.count(F.lit(1)).alias("n"))
 
 
+def encoded(column: Column, kind: str) -> Column:
+    """The bytes of a key or value, in hexadecimal: numbers as eight big-endian bytes."""
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        return F.lpad(F.hex(column.cast("long")), 16, "0")
+    return F.hex(column.cast("binary"))
+
+
 def framed(key: Column, value: Column) -> Column:
-    """length:key length:value as one string."""
-    k, v = key.cast("string"), value.cast("string")
-    return F.concat(F.octet_length(k), F.lit(":"), k, F.octet_length(v), F.lit(":"), v)
+    """length, key, length, value in hexadecimal; lengths are four big-endian bytes."""
+    size = lambda x: F.lpad(F.hex((F.length(x) / 2).cast("long")), 8, "0")
+    return F.concat(size(key), key, size(value), value)
 
 
 def range_digest(kv: DataFrame, by: list[str], page: int = PAGE) -> DataFrame:
-    """(by, n, digest) of each range's rows (integer key, value).
+    """(by, n, digest) of each range's rows (key, value): SHA-256 over framed rows in key order.
 
-    Rows are hashed in key order a page of `page` neighbouring keys at a time, and the
-    pages' hashes are added up, so that no task sees a whole range and two copies agree
-    however they are stored.
+    A page of `page` neighbouring rows is hashed as the reference frames them; pages are
+    hashed in turn by books of so many pages, books by shelves, and a range's shelves make
+    its digest.  No task sees a whole range, and two copies agree however they are stored.
     """
-    rows = kv.withColumn("page", F.floor(F.col("key") / page)).withColumn("frame", F.struct("key", framed(F.col("key"), F.col("value")).alias("text")))
-    pages = rows.groupBy(*by, "page").agg(F.count(F.lit(1)).alias("rows"), F.array_join(F.sort_array(F.collect_list("frame"))["text"], "").alias("body"))
-    part = F.conv(F.substring(F.sha2(F.concat(F.col("page").cast("string"), F.lit("|"), F.col("body")), 256), 1, 15), 16, 10).cast("decimal(38,0)")
-    return pages.groupBy(*by).agg(F.sum("rows").cast("long").alias("n"), F.sum(part).cast("string").alias("digest"))
+    kinds = dict(kv.dtypes)
+    rows = kv.select(*by, "key", framed(encoded(F.col("key"), kinds["key"]), encoded(F.col("value"), kinds["value"])).alias("body"))
+    rows = placed(rows, [*by, "key"])
+    firsts = rows.groupBy(*[F.col(c).alias(f"of_{c}") for c in by]).agg(F.min("place").alias("first"))
+    same = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in by]
+    rows = rows.join(firsts, reduce(and_, same)).select(*by, (F.col("place") - F.col("first")).alias("no"), F.lit(1).cast("long").alias("n"), "body")
+    for _ in range(3):
+        joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("no", "body"))), lambda r: r["body"]), "")
+        pages = rows.groupBy(*by, F.expr(f"no div {page}").alias("up")).agg(F.sum("n").alias("n"), F.sha2(F.unhex(joined), 256).alias("body"))
+        rows = pages.withColumnRenamed("up", "no")
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("no", "body"))), lambda r: r["body"]), "")
+    return rows.groupBy(*by).agg(F.sum("n").alias("n"), F.sha2(F.unhex(joined), 256).alias("digest"))
 
 
 def cross_range_scan(kv: DataFrame, ranges: DataFrame, start=None, end=None, limit: int | None = None) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from keyloom.functions.keys import in_range
+from keyloom.operators.ordering import placed
 
 CHUNK = 1024
 
@@ -47,16 +48,10 @@ def accepted(log: DataFrame, verdicts: DataFrame, batch: str) -> DataFrame:
 
 
 def delete_range_plan(kv: DataFrame, start, end, chunk: int = CHUNK) -> DataFrame:
-    """(key, chunk) of a range delete: keys chosen once, deleted a chunk at a time.
-
-    Ranks are counted within blocks of keys, so that a large range is not one task's.
-    """
-    rows = kv.where(in_range(F.col("key"), F.lit(start), F.lit(end))).select("key").withColumn("block", F.floor(F.col("key") / (1 << 14)))
-    sizes = rows.groupBy("block").count()
-    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("block", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
-    rank = F.row_number().over(Window.partitionBy("block").orderBy("key")) - 1
-    return rows.withColumn("rank", rank).join(starts, "block").select("key", F.floor((F.col("first") + F.col("rank")) / chunk).alias("chunk"))
+    """(key, chunk) of a range delete: keys chosen once, deleted a chunk at a time."""
+    rows = kv if start is None else kv.where(F.col("key") >= F.lit(start))
+    rows = rows if end is None else rows.where(F.col("key") < F.lit(end))
+    return placed(rows.select("key"), ["key"]).select("key", F.expr(f"place div {chunk}").alias("chunk"))
 
 
 def delete_range_receipt(plan: DataFrame) -> DataFrame:

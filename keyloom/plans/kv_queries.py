@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from keyloom.operators import folds, reads, state, ttl
+from keyloom.operators import ranges as R
 from keyloom.plans.collection import Queries
 from keyloom.sources import fixtures
 from keyloom.sources.fixtures import kv_orders, kv_ttl, log
@@ -68,13 +69,56 @@ def kv_prefix_scan(spark, d):
     return reads.prefix_scan(part, "Brand#1")
 
 
+PARTS = "(select p_partkey, encode(p_brand || '/' || p_type) as key, p_name as value from part)"
+
+
+def _parts(spark, d):
+    key = F.concat("p_brand", F.lit("/"), "p_type").cast("binary")
+    return fixtures.table(spark, d, "part").select("p_partkey", key.alias("key"), F.col("p_name").alias("value"))
+
+
+@queries.add(f"select p_partkey, hex(key) as key, value from {PARTS} where key >= encode('Brand#1') and key < encode('Brand#2')")
+def kv_prefix_scan_bytes(spark, d):
+    return reads.prefix_scan(_parts(spark, d), b"Brand#1").withColumn("key", F.hex("key"))
+
+
+BYTE_KV = "(select encode(p_brand || '/' || lpad(p_partkey::varchar, 12, '0')) as key, p_type as value from part)"
+
+
+def _byte_kv(spark, d):
+    key = F.concat("p_brand", F.lit("/"), F.lpad(F.col("p_partkey").cast("string"), 12, "0")).cast("binary")
+    return fixtures.table(spark, d, "part").select(key.alias("key"), F.col("p_type").alias("value"))
+
+
+@queries.add(f"select hex(p.probe) as probe, hex(k.key) as key, k.value from (select distinct encode('Brand#' || (10 + c_custkey % 50) || '/' || lpad((c_custkey * 7)::varchar, 12, '0')) as probe from customer) p asof left join {BYTE_KV} k on p.probe >= k.key")
+def kv_seek_le_bytes(spark, d):
+    probe = F.concat(F.lit("Brand#"), (F.lit(10) + F.col("c_custkey") % 50).cast("string"), F.lit("/"), F.lpad((F.col("c_custkey") * 7).cast("string"), 12, "0")).cast("binary")
+    found = reads.seek_le(_byte_kv(spark, d), fixtures.table(spark, d, "customer").select(probe.alias("probe")).distinct())
+    return found.select(F.hex("probe").alias("probe"), F.hex("key").alias("key"), "value")
+
+
+@queries.add(f"select hex(key) as key, (row_number() over (order by key) - 1) // 100 as chunk from {BYTE_KV} where key >= encode('Brand#2') and key < encode('Brand#4')")
+def kv_delete_range_bytes(spark, d):
+    return state.delete_range_plan(_byte_kv(spark, d), b"Brand#2", b"Brand#4", 100).withColumn("key", F.hex("key"))
+
+
+@queries.add(f"""with r as (select substr(value, 1, 3) as grp, row_number() over (partition by substr(value, 1, 3) order by key) - 1 as no, count(*) over (partition by substr(value, 1, 3)) as n, key from {BYTE_KV})
+select grp, n, hex(key) as split_key from r where no = n // 2 and n >= 2""")
+def region_split_median_bytes(spark, d):
+    rows = _byte_kv(spark, d).withColumn("grp", F.substring("value", 1, 3))
+    return R.median_key(rows, ["grp"]).withColumn("split_key", F.hex("split_key"))
+
+
 @queries.add("select count(*) as n from orders")
 def kv_entry_count(spark, d):
     return reads.entry_count(kv_orders(spark, d))
 
 
-DIGEST = """with pages as (select key // 5000 as range_id, key // 512 as page, count(*) as c, string_agg(strlen(key::varchar) || ':' || key || strlen(value) || ':' || value, '' order by key) as body from {kv} group by all)
-select range_id::bigint as range_id, sum(c)::bigint as n, sum(('0x' || substr(sha256(page || '|' || body), 1, 15))::bigint)::varchar as digest from pages group by range_id"""
+DIGEST = """with r as (select key // 5000 as range_id, row_number() over (partition by key // 5000 order by key) - 1 as no, 1 as n, '00000008' || format('{{:016X}}', key) || format('{{:08X}}', strlen(value)) || hex(value) as body from {kv}),
+p as (select range_id, no // 512 as up, sum(n) as n, sha256(unhex(string_agg(body, '' order by no))) as body from r group by range_id, no // 512),
+b as (select range_id, up // 512 as up, sum(n) as n, sha256(unhex(string_agg(body, '' order by p.up))) as body from p group by range_id, p.up // 512),
+s as (select range_id, up // 512 as up, sum(n) as n, sha256(unhex(string_agg(body, '' order by b.up))) as body from b group by range_id, b.up // 512)
+select range_id::bigint as range_id, sum(n)::bigint as n, sha256(unhex(string_agg(body, '' order by up))) as digest from s group by range_id"""
 
 
 @queries.add(DIGEST.format(kv=KV))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from keyloom.operators.ordering import running
 
 TABLE_BYTES = 8 << 20
 
@@ -50,18 +51,10 @@ def closure_problems(expected: DataFrame, objects: DataFrame) -> DataFrame:
     return rows.select("file", problem.alias("problem")).where("problem is not null")
 
 
-def layout(kv: DataFrame, size: str = "bytes", target: int = TABLE_BYTES, block: int = 1 << 14) -> DataFrame:
-    """kv (key, bytes) with table: rows in key order cut wherever the running bytes pass target.
-
-    Bytes run over blocks of keys first, then inside each, so that no task sees all rows.
-    """
-    rows = kv.withColumn("block", F.floor(F.col("key") / block))
-    sums = rows.groupBy("block").agg(F.sum(size).alias("total"))
-    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("block", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("first"))
-    inside = F.sum(size).over(Window.partitionBy("block").orderBy("key").rowsBetween(Window.unboundedPreceding, 0))
-    placed = rows.withColumn("upto", inside).join(starts, "block")
-    return placed.withColumn("table", F.floor((F.col("first") + F.col("upto") - F.col(size)) / target).cast("long")).drop("block", "upto", "first")
+def layout(kv: DataFrame, size: str = "bytes", target: int = TABLE_BYTES) -> DataFrame:
+    """kv (key, bytes) with table: rows in key order cut wherever the running bytes pass target."""
+    laid = running(kv, ["key"], size)
+    return laid.withColumn("table", F.expr(f"(upto - `{size}`) div {target}")).drop("upto")
 
 
 def layout_manifest(laid: DataFrame, size: str = "bytes") -> DataFrame:

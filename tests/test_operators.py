@@ -164,6 +164,36 @@ def test_routes_agree(spark, most):
     assert got == {(1, 0): 1, (1, 9): 1, (1, 10): None, (1, 20): 2, (2, 10): 3, (3, 1): None}
 
 
+@pytest.mark.parametrize("most", [0, 1000])
+def test_overlapping_ranges_have_one_owner(spark, most):
+    r = spark.createDataFrame([(1, 1, b"", b"z"), (2, 1, b"b", b"d"), (3, 1, b"b", b"c"), (4, 2, b"q", None)], "range_id long, keyspace_id long, start binary, end binary")
+    keys = spark.createDataFrame([(1, k) for k in (b"", b"a", b"b", b"c", b"d", b"y")] + [(2, b"a"), (2, b"q\x00")], "keyspace_id long, key binary")
+    got = {(x.keyspace_id, bytes(x.key)): x.range_id for x in ranges.route(keys, r, most).collect()}
+    assert got == {(1, b""): 1, (1, b"a"): 1, (1, b"b"): 3, (1, b"c"): None, (1, b"d"): None, (1, b"y"): None, (2, b"a"): None, (2, b"q\x00"): 4}
+
+
+def test_overlaps_are_all_found(spark):
+    rows = [(1, 0, 9), (2, 1, 4), (3, 3, None), (4, 9, 9), (5, 4, 6)]
+    df = spark.createDataFrame([(1, *r) for r in rows], "keyspace_id long, range_id long, start long, end long")
+    assert sorted((r.left, r.right) for r in ranges.overlaps(df).collect()) == [(1, 2), (1, 3), (1, 5), (2, 3), (3, 5)]
+
+
+def test_places_and_sums_over_many_parts(spark):
+    from keyloom.operators import ordering
+
+    r = random.Random(4)
+    rows = [(bytes(r.randrange(256) for _ in range(r.randrange(1, 6))) + k.to_bytes(2, "big"), r.randrange(9)) for k in range(500)]
+    df = frame(spark, rows, "key binary, bytes long").repartition(7)
+    rows.sort()
+    assert {bytes(x.key): x.place for x in ordering.placed(df, ["key"]).collect()} == {k: n for n, (k, _) in enumerate(rows)}
+    total, want = 0, {}
+    for k, n in rows:
+        total += n
+        want[k] = total
+    assert {bytes(x.key): x.upto for x in ordering.running(df, ["key"], "bytes").collect()} == want
+    assert ordering.placed(df.limit(0), ["key"]).count() == 0
+
+
 @pytest.mark.parametrize("rows, valid", [([(0, 5), (5, None)], True), ([(0, 5), (6, None)], False), ([(0, 6), (5, None)], False), ([(0, 5), (5, 9)], False), ([(1, None)], False)])
 def test_partition_validity(spark, rows, valid):
     df = spark.createDataFrame([(1, k, s, e, False) for k, (s, e) in enumerate(rows)], "keyspace_id long, range_id long, start long, end long, sealed boolean")
@@ -226,10 +256,11 @@ def test_fnv_vectors():
     assert folds.fnv1a(b"") == 0xCBF29CE484222325 and folds.fnv1a(b"a") == 0xAF63DC4C8601EC8C
 
 
-def test_checksums_are_per_page_of_keys(spark):
-    kv = frame(spark, [(k, f"v{k}") for k in range(1000)], "key long, value string")
-    got = {r.page: r.checksum for r in folds.range_checksums(kv.repartition(5)).collect()}
-    assert got[0] == f"{folds.fnv1a(''.join(f'{k}v{k}' for k in range(512)).encode()):016x}"
+def test_checksums_are_per_page_of_rows(spark):
+    rows = sorted((bytes([k % 251, k // 251, k % 7]), f"v{k}".encode()) for k in range(1000))
+    kv = frame(spark, rows, "key binary, value binary")
+    got = {r.page: (r.n, r.checksum) for r in folds.range_checksums(kv.repartition(5)).collect()}
+    assert got == {p: (len(part), f"{folds.fnv1a(b''.join(k + v for k, v in part)):016x}") for p in (0, 1) for part in [rows[512 * p : 512 * p + 512]]}
 
 
 @pytest.mark.parametrize("ops, verdict", [
