@@ -39,10 +39,11 @@ def ordered_fold(df: DataFrame, by: list[str], order: list[str], start: Callable
     return dealt.mapInPandas(run, ", ".join([*(f"{c} {kinds[c]}" for c in columns), schema]))
 
 
-def token_bucket(requests: DataFrame, capacity: int, per_second: int) -> DataFrame:
+def token_bucket(requests: DataFrame, capacity: int, per_second: int, every_us: int = 1) -> DataFrame:
     """(tenant, ts_us, request_id, admitted, tokens) for requests (tenant, ts_us, request_id, cost).
 
-    A bucket starts full and refills with time up to its capacity; a refused request
+    A bucket starts full and refills with time up to its capacity, by per_second
+    millionths of a token for every every_us microseconds that are over; a refused request
     takes nothing.  Tokens are counted in millionths, so that all is in whole numbers.
     """
     full = capacity * 1_000_000
@@ -52,7 +53,7 @@ def token_bucket(requests: DataFrame, capacity: int, per_second: int) -> DataFra
 
     def step(state, row):
         tokens, last = state
-        tokens = min(full, tokens + max(0, row.ts_us - last) * per_second)
+        tokens = min(full, tokens + max(0, row.ts_us - last) * per_second // every_us)
         cost = row.cost * 1_000_000
         admitted = tokens >= cost
         tokens -= cost if admitted else 0

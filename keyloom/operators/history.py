@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from keyloom.operators.folds import ordered_fold
+
 STATES = 200_000  # places a search looks at before it gives up
 
 
@@ -38,53 +40,130 @@ def apply_model(state, op: str, value):
     return (value if op == "put" else None), None
 
 
-def explain(ops: list[tuple], most: int = STATES) -> str:
-    """valid, invalid or inconclusive for one key's (invoked, returned, op, value, outcome, result).
+START = ("start",)  # a piece's state before any of its writes
+
+
+def outcomes(ops: list[tuple], most: int = STATES) -> dict[tuple, list[int]] | None:
+    """What a piece of one key's history can do: (value it needs at its start, value at its end) -> an order of its operations.
 
-    Depth first over sets of operations already placed: next comes any that was invoked
-    before every open one returned.  A refused operation has no effect; one of unknown
-    outcome may have it at any later time, or never.
+    ops: (invoked, returned, op, value, outcome, result).  The need is (START,) where no
+    read shows the start's value, the end START where nothing was written.  The order
+    (places in ops) is a witness.  Depth first over sets of operations already placed: next comes any
+    that was invoked before every open one returned.  A refused operation has no effect;
+    one of unknown outcome may have it at any later time, or never.  None: given up.
     """
-    ops = [o for o in ops if o[4] != "refused"]
-    ends = [float("inf") if o[4] == "unknown" else o[1] for o in ops]
-    must = frozenset(k for k, o in enumerate(ops) if o[4] == "ok")
-    seen, stack = set(), [(frozenset(), None)]
+    use = [k for k, o in enumerate(ops) if o[4] != "refused" and not (o[4] == "unknown" and o[2] == "get")]
+    ends = {k: float("inf") if ops[k][4] == "unknown" else ops[k][1] for k in use}
+    must = frozenset(k for k in use if ops[k][4] == "ok")
+    found: dict[tuple, list[int]] = {}
+    seen, stack = set(), [(frozenset(), (START,), START, ())]
     while stack:
-        done, state = stack.pop()
+        done, need, state, order = stack.pop()
         if must <= done:
-            return "valid"
-        if (done, state) in seen:
+            found.setdefault((need, state), list(order))
+        if (done, need, state) in seen:
             continue
-        seen.add((done, state))
+        seen.add((done, need, state))
         if len(seen) > most:
-            return "inconclusive"
-        left = [k for k in range(len(ops)) if k not in done]
-        horizon = min(ends[k] for k in left)
+            return None
+        left = [k for k in use if k not in done]
+        horizon = min((ends[k] for k in left), default=0)
         for k in left:
-            invoked, _, op, value, outcome, result = ops[k]
+            invoked, _, op, value, _, result = ops[k]
             if invoked < horizon or ends[k] == horizon:
-                then, read = apply_model(state, op, value)
-                if op != "get" or outcome == "unknown" or read == result:
-                    stack.append((done | {k}, then))
-    return "invalid"
+                if op != "get":
+                    stack.append((done | {k}, need, value if op == "put" else None, (*order, k)))
+                elif state != START:
+                    if state == result:
+                        stack.append((done | {k}, need, state, (*order, k)))
+                elif need == (START,) or need == (result,):
+                    stack.append((done | {k}, (result,), state, (*order, k)))
+    return found
+
+
+def follow(values: set, found: dict[tuple, list[int]]) -> set:
+    """The values a key can have after a piece, from those it can have before."""
+    return {v if end == START else end for need, end in found for v in values if need == (START,) or need == (v,)}
+
+
+def explain(ops: list[tuple], most: int = STATES) -> str:
+    """valid, invalid or inconclusive for one key's whole history, which begins without a value."""
+    found = outcomes(ops, most)
+    return "inconclusive" if found is None else "valid" if follow({None}, found) else "invalid"
+
+
+def witness(ops: list[tuple], most: int = STATES) -> list[int] | None:
+    """An order of the operations that explains a key's history, or None."""
+    for (need, _), order in (outcomes(ops, most) or {}).items():
+        if need in ((START,), (None,)):
+            return order
+    return None
+
+
+def replayed(ops: list[tuple], order: list[int]) -> bool:
+    """Whether an order explains a history, by going through it: every result fits, no operation
+    comes before one that had returned when it began, and all that succeeded are there once."""
+    value, latest = None, float("-inf")
+    for k in order:
+        invoked, returned, op, written, outcome, result = ops[k]
+        if outcome == "refused" or (outcome == "ok" and returned < latest) or (op == "get" and outcome == "ok" and value != result):
+            return False
+        latest = max(latest, invoked)
+        value, _ = apply_model(value, op, written)
+    need = {k for k, o in enumerate(ops) if o[4] == "ok"}
+    return len({*order}) == len(order) and need <= {*order}
+
+
+def pieces(ops: DataFrame) -> DataFrame:
+    """ops with piece: the number of moments before an operation when none of its key was open.
+
+    Whatever comes before such a moment is placed before what comes after, so that pieces
+    can be searched apart.  A write of unknown outcome stays open to the end.
+    """
+    by = Window.partitionBy("history", "key").orderBy("invoked")
+    held = ops.where("outcome <> 'refused' and not (outcome = 'unknown' and op = 'get')")
+    end = F.when(F.col("outcome") == "ok", F.col("returned")).otherwise(F.lit((1 << 63) - 1))
+    open_to = F.max(end).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    cut = F.coalesce(F.col("invoked") > open_to, F.lit(False)).cast("int")
+    return held.withColumn("cut", cut).withColumn("piece", F.sum("cut").over(by)).drop("cut")
 
 
 def check_histories(ops: DataFrame, most: int = STATES) -> DataFrame:
     """(history, verdict): the worst of its keys, which are checked apart.
 
-    Operations on one key each make a history linearizable if every key's part is.
+    Operations on one key each make a history linearizable if every key's part is.  A
+    key's operations are cut where none is open; pieces are searched by many tasks, and
+    what they need and leave, a short row each, is followed from one to the next.
     """
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+    def search(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.astype(object).where(pdf.notna(), None).sort_values("invoked")
-        rows = [(r.invoked, r.returned, r.op, r.value, r.outcome, r.result) for r in pdf.itertuples()]
-        return pd.DataFrame({"history": [pdf["history"].iloc[0]], "key": [pdf["key"].iloc[0]], "verdict": [explain(rows, most)]})
-
-    schema = f"history {dict(ops.dtypes)['history']}, key {dict(ops.dtypes)['key']}, verdict string"
-    by_key = ops.groupBy("history", "key").applyInPandas(one, schema)
+        found = outcomes([(r.invoked, r.returned, r.op, r.value, r.outcome, r.result) for r in pdf.itertuples()], most)
+        moves = [] if found is None else [{"free": need == (START,), "need": None if need == (START,) else need[0], "same": end == START, "end": None if end == START else end} for need, end in found]
+        return pd.DataFrame({"history": [pdf["history"].iloc[0]], "key": [pdf["key"].iloc[0]], "piece": [pdf["piece"].iloc[0]], "known": [found is not None], "moves": [moves]})
+
+    def chain(state, row):
+        values, verdict = state
+        if not row.known:
+            verdict = "inconclusive" if verdict == "valid" else verdict
+            return (None, verdict), (verdict,)
+        if values is not None:
+            values = {v if m["same"] else m["end"] for m in row.moves for v in values if m["free"] or m["need"] == v}
+            verdict = verdict if values or verdict != "valid" else "invalid"
+        elif not len(row.moves):
+            verdict = "invalid"
+        return (values, verdict), (verdict,)
+
+    kinds = dict(ops.dtypes)
+    value = "struct<free:boolean,need:string,same:boolean,end:string>"
+    schema = f"history {kinds['history']}, key {kinds['key']}, piece long, known boolean, moves array<{value}>"
+    found = pieces(ops).groupBy("history", "key", "piece").applyInPandas(search, schema)
+    steps = ordered_fold(found, ["history", "key"], ["piece"], lambda row: ({None}, "valid"), chain, "verdict string")
     rank = F.when(F.col("verdict") == "invalid", 2).when(F.col("verdict") == "inconclusive", 1).otherwise(0)
-    worst = by_key.groupBy("history").agg(F.max(rank).alias("rank"))
-    return worst.select("history", F.when(F.col("rank") == 2, "invalid").when(F.col("rank") == 1, "inconclusive").otherwise("valid").alias("verdict"))
+    worst = steps.groupBy("history").agg(F.max(rank).alias("rank"))
+    # histories of refused operations alone are valid
+    all_ = ops.select("history").distinct().join(worst, "history", "left")
+    return all_.select("history", F.when(F.col("rank") == 2, "invalid").when(F.col("rank") == 1, "inconclusive").otherwise("valid").alias("verdict"))
 
 
 def shortest_invalid(ops: DataFrame, most: int = STATES) -> DataFrame:

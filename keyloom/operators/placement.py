@@ -38,6 +38,16 @@ def backup_stage(backups: DataFrame, anchors: DataFrame) -> DataFrame:
     return rows.select("backup_id", "anchored", stage.alias("stage"))
 
 
+def backup_plan_check(plans: DataFrame, ranges: DataFrame, running: DataFrame) -> DataFrame:
+    """(backup_id, verdict) of backup plans (backup_id, keyspace_id): a keyspace without a live range,
+    a sealed range among its own, or another backup of it that still runs refuses the plan."""
+    held = ranges.groupBy("keyspace_id").agg(F.count(F.lit(1)).alias("n"), F.bool_or("sealed").alias("some_sealed"))
+    busy = running.select("keyspace_id").distinct().withColumn("busy", F.lit(True))
+    rows = plans.join(held, "keyspace_id", "left").join(busy, "keyspace_id", "left")
+    verdict = F.when(F.col("n").isNull(), "KeyspaceNotFound").when(F.coalesce("busy", F.lit(False)), "busy").when(F.col("some_sealed"), "sealed").otherwise("ok")
+    return rows.select("backup_id", verdict.alias("verdict"))
+
+
 def restore_stage(restores: DataFrame, loaded: DataFrame) -> DataFrame:
     """(restore_id, loaded, stage) in the same way."""
     counts = loaded.groupBy("restore_id").agg(F.countDistinct("range_id").alias("loaded"))

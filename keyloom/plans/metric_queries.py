@@ -50,9 +50,13 @@ def hist_dominance(spark, d):
     return metrics.dominance(left, right)
 
 
-@queries.add(f"select outcome, count(*) as n, true as plausible from {NS} group by 1")
+@queries.add(f"""with h as (select case when bucket = 0 then 0 else 1::hugeint << (bucket - 1) end as low, (1::hugeint << bucket) - 1 as high, case when outcome = 'click' then sum_ns * 3 else sum_ns end as total, case when outcome = 'view' then min_ns // 4 else min_ns end as least, * from {HIST}),
+g as (select outcome, sum(n)::bigint as n, sum(low * n) as lo, sum(high * n) as hi, sum(total) as total, min(least) as mn, max(max_ns) as mx, min(bucket) as first, max(bucket) as last from h group by 1)
+select outcome, n, total >= lo and total <= hi and {BUCKET.format('mn')} = first and {BUCKET.format('mx')} = last as plausible from g""")
 def hist_plausible(spark, d):
-    return metrics.plausible(_hist(spark, d), ["outcome"])
+    """Two outcomes are tampered with: a sum too great, a least value out of its bucket."""
+    hist = _hist(spark, d).withColumn("sum_ns", F.when(F.col("outcome") == "click", F.col("sum_ns") * 3).otherwise(F.col("sum_ns")))
+    return metrics.plausible(hist.withColumn("min_ns", F.when(F.col("outcome") == "view", F.expr("min_ns div 4")).otherwise(F.col("min_ns"))), ["outcome"])
 
 
 @queries.add(f"select event_id % 2 as target, {BUCKET.format('ns')}::int as bucket, count(*) as n from {NS} group by all")

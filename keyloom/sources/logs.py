@@ -8,8 +8,14 @@ LOG = "term long, idx long, ordinal int, op string, keyspace_id int, key long, v
 HISTORY = "history string, type string, seq long, id long, client string, op string, key string, value string, outcome string, result string, phase string"
 
 
-def append(log: DataFrame, path: str) -> None:
-    """Add mutations to a log folder; a log is partitioned by keyspace and never rewritten."""
+def append(log: DataFrame, path: str, ttl_secs: int | None = None, causal_ts: int | None = None) -> None:
+    """Add mutations to a log folder; a log is partitioned by keyspace and never rewritten.
+
+    Options that a plain log does not honour are refused, never ignored.
+    """
+    for name, value in (("TTL", ttl_secs), ("causal timestamp", causal_ts)):
+        if value is not None:
+            raise NotImplementedError(f"a plain log has no {name}")
     log.write.mode("append").partitionBy("keyspace_id").parquet(path)
 
 

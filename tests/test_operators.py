@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from keyloom.operators import folds, history, ranges, reads, state, ttl
+from keyloom.operators import catalog, folds, history, ranges, reads, state, ttl
 from keyloom.sources import logs, sorted_tables
 
 
@@ -209,6 +209,18 @@ def test_digest_sees_one_changed_value(spark):
     assert reads.range_digest(other, ["r"]).first().digest != same
 
 
+def test_catalog_checks(spark):
+    there = frame(spark, [(1, "a", 10)], "id long, name string, parent long")
+    rows = frame(spark, [(1, "b", 10), (2, "c", 10), (2, "d", 10), (3, "e", 99), (4, "a", 10), (5, "f", None), (6, None, 10), (7, None, 10)], "id long, name string, parent long")
+    parents = frame(spark, [(10,)], "pid long")
+    got = catalog.insert(there, rows, ["id"], ["name"], "parent", parents, "pid").collect()
+    assert sorted((r.id, r.verdict) for r in got) == [(1, "WriteConflict"), (2, "WriteConflict"), (2, "WriteConflict"), (3, "ForeignKey"), (4, "Unique"), (5, "ok"), (6, "ok"), (7, "ok")]
+    kept = catalog.delete(rows, rows, ["id"], frame(spark, [(4,)], "of long"), "of").collect()
+    assert [r.id for r in kept] == [4]
+    changed = catalog.update(there, frame(spark, [(1, None), (9, "z")], "id long, name string"), ["id"]).collect()
+    assert [tuple(r) for r in changed] == [(1, None, 10)]
+
+
 def test_batch_limits(spark):
     kv = frame(spark, [(1, "a")], "key long, value string")
     with pytest.raises(ValueError):
@@ -297,6 +309,52 @@ def test_history_search_against_permutations():
                 value = o[3] if o[2] == "put" else None if o[2] == "delete" else value
             return True
         assert (history.explain(ops) == "valid") == any(fits(p) for p in permutations(ops))
+        order = history.witness(ops)
+        assert (order is not None) == (history.explain(ops) == "valid") and (order is None or (history.replayed(ops, order) and fits([ops[k] for k in order])))
+
+
+def random_history(r, n):
+    ops, t, value = [], 0, None
+    for _ in range(n):
+        a, b = t, t + 1 + r.randrange(4)
+        t = t + 1 if r.random() < 0.6 else b + 1
+        op = r.choice(["put", "get", "get", "delete"])
+        outcome = r.choices(["ok", "unknown", "refused"], [12, 1, 1])[0]
+        written = r.choice("xyz") if op == "put" else None
+        result = (value if r.random() < 0.85 else r.choice(["x", None])) if op == "get" and outcome == "ok" else None
+        ops.append((2 * a, 2 * b + 1 if outcome != "unknown" else None, op, written, outcome, result))
+        if op != "get" and outcome == "ok":
+            value = written
+    return ops
+
+
+def test_pieces_give_what_the_whole_gives(spark):
+    r = random.Random(8)
+    rows, want = [], {}
+    for h in range(60):
+        verdicts = []
+        for key in "ab":
+            ops = random_history(r, 9)
+            rows += [(h, key, i, e, op, v, out, res) for i, e, op, v, out, res in ops]
+            verdicts.append(history.explain(ops))
+        want[h] = "invalid" if "invalid" in verdicts else "valid"
+    ops = frame(spark, rows, "history long, key string, invoked long, returned long, op string, value string, outcome string, result string")
+    assert {x.history: x.verdict for x in history.check_histories(ops).collect()} == want
+    assert 10 < sum(v == "valid" for v in want.values()) < 50
+    assert history.pieces(ops).agg(F.max("piece").alias("n")).first().n >= 2
+
+
+def test_a_changed_witness_is_refused():
+    ops = [(1, 2, "put", "a", "ok", None), (3, 4, "put", "b", "ok", None), (5, 6, "get", None, "ok", "b")]
+    assert history.replayed(ops, [0, 1, 2])
+    assert not any(history.replayed(ops, o) for o in ([1, 0, 2], [0, 1], [0, 2, 1], [0, 1, 2, 2]))
+
+
+def test_a_plain_log_refuses_options(spark, tmp_path):
+    log = frame(spark, [], logs.LOG)
+    for option in ({"ttl_secs": 0}, {"causal_ts": 5}):
+        with pytest.raises(NotImplementedError):
+            logs.append(log, f"file://{tmp_path}/log", **option)
 
 
 def test_malformed_history(spark):
