@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 POSITION = ["term", "idx", "ordinal"]
 
@@ -27,23 +28,49 @@ def _last(spark: SparkSession, path: str) -> int | None:
     return max((int(n.partition("=")[2]) for n in names), default=None)
 
 
-def fold_batch(state_path: str):
+BUCKETS = 64
+STATE = "keyspace_id int, key long, op string, value string, position struct<term:long,idx:long,ordinal:int>"
+
+
+def _bucket(buckets: int):
+    return F.pmod(F.xxhash64("keyspace_id", "key"), F.lit(buckets)).cast("int").alias("bucket")
+
+
+def _held(spark: SparkSession, path: str) -> dict[int, str]:
+    """The newest folder of each bucket, of complete batches only."""
+    jvm = spark._jvm
+    fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    marks = fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/batch=*/_SUCCESS"))
+    complete = {str(m.getPath().getParent().getName()) for m in marks or []}
+    found: dict[int, tuple[str, str]] = {}
+    for s in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/batch=*/bucket=*")) or []:
+        batch, bucket = str(s.getPath().getParent().getName()), int(str(s.getPath().getName()).partition("=")[2])
+        if batch in complete and batch > found.get(bucket, ("", ""))[0]:
+            found[bucket] = (batch, str(s.getPath()))
+    return {bucket: folder for bucket, (_, folder) in found.items()}
+
+
+def fold_batch(state_path: str, buckets: int = BUCKETS):
     """A foreachBatch function that folds log rows into a state table, a folder a batch.
 
-    State keeps deletes and each key's position, so that a batch that comes again, or rows
+    State is dealt into buckets of keys, and a batch rewrites those that its rows touch.
+    It keeps deletes and each key's position, so that a batch that comes again, or rows
     at or below what was applied, change nothing.
     """
 
     def apply(rows: DataFrame, batch: int) -> None:
         spark = rows.sparkSession
         last = _last(spark, state_path)
-        new = rows.select("keyspace_id", "key", "op", "value", F.struct(*POSITION).alias("position"))
-        if last is not None:
-            if batch <= last:
-                return
-            new = spark.read.parquet(_folder(state_path, last)).unionByName(new)
+        if last is not None and batch <= last:
+            return
+        new = rows.select("keyspace_id", "key", "op", "value", F.struct(*POSITION).alias("position")).to(StructType.fromDDL(STATE))
+        touched = {r["bucket"] for r in new.select(_bucket(buckets)).distinct().collect()}  # at most `buckets`
+        before = [folder for bucket, folder in _held(spark, state_path).items() if bucket in touched]
+        if before:
+            new = spark.read.schema(STATE).parquet(*before).unionByName(new)
         newest = F.max_by(F.struct("op", "value", "position"), "position").alias("s")
-        new.groupBy("keyspace_id", "key").agg(newest).select("keyspace_id", "key", "s.*").write.mode("overwrite").parquet(_folder(state_path, batch))
+        state = new.groupBy("keyspace_id", "key").agg(newest).select("keyspace_id", "key", "s.*", _bucket(buckets))
+        state.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(_folder(state_path, batch))
 
     return apply
 
@@ -55,10 +82,11 @@ def run_fold(log: DataFrame, state_path: str, checkpoint: str) -> StreamingQuery
 
 def read_state(spark: SparkSession, state_path: str) -> DataFrame:
     """Live rows (keyspace_id, key, value) of the newest state."""
-    last = _last(spark, state_path)
-    if last is None:
+    if _last(spark, state_path) is None:
         raise ValueError("no state was written")
-    return spark.read.parquet(_folder(state_path, last)).where("op = 'put'").select("keyspace_id", "key", "value")
+    folders = _held(spark, state_path).values()
+    rows = spark.read.schema(STATE).parquet(*folders) if folders else spark.createDataFrame([], STATE)
+    return rows.where("op = 'put'").select("keyspace_id", "key", "value")
 
 
 def expire_stream(log: DataFrame, idle: str = "0 seconds") -> DataFrame:

@@ -36,6 +36,18 @@ def test_repeated_batch_changes_nothing(spark, tmp_path):
     assert sorted(map(tuple, apply.read_state(spark, at).collect())) == first
 
 
+def test_a_batch_rewrites_the_buckets_it_touches(spark, tmp_path):
+    at = f"file://{tmp_path}/state"
+    step = apply.fold_batch(at)
+    rows = [(1, k, 0, "put", 1, k, "v", 1, 1, 1) for k in range(500)]
+    step(spark.createDataFrame(rows, logs.LOG), 0)
+    step(spark.createDataFrame([(1, 900, 0, "put", 1, 7, "new", 1, 1, 1), (1, 901, 0, "delete", 1, 8, None, 1, 1, 1)], logs.LOG), 1)
+    assert len(list((tmp_path / "state" / "batch=000000000000").glob("bucket=*"))) > 50
+    assert len(list((tmp_path / "state" / "batch=000000000001").glob("bucket=*"))) <= 2
+    got = {r.key: r.value for r in apply.read_state(spark, at).collect()}
+    assert got == {k: "new" if k == 7 else "v" for k in range(500) if k != 8}
+
+
 def test_token_bucket_stream_equals_batch(spark, tmp_path):
     r = random.Random(1)
     rows = sorted((r.randrange(3), k * 1000 + r.randrange(900), k, r.randrange(1, 4)) for k in range(90))
