@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from keyloom.llm import base_queries
 from keyloom.llm.embedding_dedup import OP2_SQL, op2_sign_hashing
 from keyloom.llm.language_id import op5_bidirectional_gru
 from keyloom.llm.packing import op10_best_fit
@@ -24,8 +25,9 @@ QUERIES = {
     "op8_bootstrapped_contexts": op8_bootstrapped_contexts,
     "op9_two_pass_shuffle": op9_two_pass_shuffle,
     "op10_best_fit": op10_best_fit,
+    **base_queries.QUERIES,
 }
 
 #: The others follow learned models, hashes or permutations that SQL cannot restate;
-#: tests/llm holds each against brute force or an exact round trip.
-ORACLE_SQL: dict[str, str] = {"op2_sign_hashing": OP2_SQL}
+#: the fixed columns of three are restated apart, and tests/llm holds each against brute force or an exact round trip.
+ORACLE_SQL: dict[str, str] = {"op2_sign_hashing": OP2_SQL, **base_queries.ORACLE_SQL}
