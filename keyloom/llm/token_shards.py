@@ -118,10 +118,9 @@ def numbered(table: DataFrame) -> tuple[DataFrame, int]:
     A row's index is its place in its file after the rows of the files before it, so
     that only one row a file is put in order.  Files go by their parts' numbers.
     """
-    part = F.regexp_extract(F.col("_metadata.file_name"), "^part-([0-9]+)", 1).cast("long")
-    rows = table.select("*", part.alias("file"), F.col("_metadata.row_index").alias("at"))
+    rows = table.select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at"))
     sizes = written(rows.groupBy("file").agg(F.count(F.lit(1)).alias("rows")), "files")
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy(F.regexp_extract("file", "^part-([0-9]+)", 1).cast("long")).rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("file", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("first"))
     total = sizes.agg(F.sum("rows").alias("n")).first()["n"] or 0
     return rows.join(starts, "file").withColumn("index", F.col("first") + F.col("at")).drop("file", "at", "first"), total
