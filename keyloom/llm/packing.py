@@ -20,7 +20,7 @@ from keyloom.llm.common import documents, written
 CAPACITY = 2048
 END_ID = 0
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
-SALTS = 64
+PER_GROUP = 1 << 20  # pieces that are put in order at once
 #: Encoded words that a Python worker keeps between batches.
 CACHED_WORDS = 400_000
 #: Fixed values of the tokenizer: how it divides a word, and how its model writes bytes
@@ -308,19 +308,21 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     is left goes best fit, longest first.  The plan comes back as at most a few runs a
     length, so it is small whatever the corpus, and every task looks its pieces up in
     it by their rank among pieces of their length.  Ranks are counted in (length, salt)
-    groups, so that no task holds all pieces of a common length.
+    groups of about PER_GROUP pieces, so that no task holds all pieces of a common length.
     """
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
-    counts = written(salted.groupBy("length", "salt").count(), "lengths")
     histogram = np.zeros(capacity + 1, np.int64)
-    for row in counts.groupBy("length").agg(F.sum("count").alias("n")).collect():
-        histogram[row["length"]] = row["n"]
+    for row in pieces.groupBy("length").count().collect():
+        histogram[row["length"]] = row["count"]
+    salts = [(n, int(c) // PER_GROUP + 1) for n, c in enumerate(histogram.tolist()) if c]
+    salts = F.broadcast(pieces.sparkSession.createDataFrame(salts, f"length {dict(pieces.dtypes)['length']}, salts int"))  # capacity rows at most
+    salted = pieces.join(salts, "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), "salts").cast("int")).drop("salts")
+    counts = written(salted.groupBy("length", "salt").count(), "lengths")
     plan = Plan(histogram, capacity)
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("length", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
     in_group = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
     ranked = salted.withColumn("rank", F.row_number().over(in_group) - 1)
-    # at most capacity x SALTS rows
+    # a row for PER_GROUP pieces, and one a length
     ranked = ranked.join(F.broadcast(starts), ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("first"))
     thin = ranked.select(*pieces.columns, "rank")
     runs = np.array(plan.runs, np.int64).reshape(-1, 6)
