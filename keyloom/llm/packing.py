@@ -21,8 +21,9 @@ CAPACITY = 2048
 END_ID = 0
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 PER_GROUP = 1 << 20  # pieces that are put in order at once
-#: Encoded words that a Python worker keeps between batches.
-CACHED_WORDS = 400_000
+#: Encoded words that a Python worker keeps between batches, and texts that it cuts at once.
+CACHED_WORDS = 120_000
+CUT_AT_ONCE = 512
 #: Fixed values of the tokenizer: how it divides a word, and how its model writes bytes
 #: that are not printable ASCII.
 WORD_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -106,10 +107,10 @@ def _cut(path: str, capacity: int, end_id: int, keep_ids: bool):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path)
         end = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            texts = [x.as_py() or "" for x in batch.column(1)]
+        for part in (b.slice(at, CUT_AT_ONCE) for b in batches for at in range(0, len(b), CUT_AT_ONCE)):
+            texts = [x.as_py() or "" for x in part.column(1)]
             rows: list[tuple] = []
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(texts)):
+            for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(texts)):
                 ids += end
                 n = len(ids) // 4
                 for piece, start in enumerate(range(0, n, capacity)):
