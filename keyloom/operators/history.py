@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -136,11 +138,28 @@ def check_histories(ops: DataFrame, most: int = STATES) -> DataFrame:
     what they need and leave, a short row each, is followed from one to the next.
     """
 
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.astype(object).where(pdf.notna(), None).sort_values("invoked")
-        found = outcomes([(r.invoked, r.returned, r.op, r.value, r.outcome, r.result) for r in pdf.itertuples()], most)
-        moves = [] if found is None else [{"free": need == (START,), "need": None if need == (START,) else need[0], "same": end == START, "end": None if end == START else end} for need, end in found]
-        return pd.DataFrame({"history": [pdf["history"].iloc[0]], "key": [pdf["key"].iloc[0]], "piece": [pdf["piece"].iloc[0]], "known": [found is not None], "moves": [moves]})
+    names = ["history", "key", "piece", "known", "moves"]
+
+    def searched(place: tuple, rows: list[tuple]) -> tuple:
+        found = outcomes(rows, most)
+        moves = [{"free": need == (START,), "need": None if need == (START,) else need[0], "same": end == START, "end": None if end == START else end} for need, end in found or {}]
+        return (*place, found is not None, moves)
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Pieces come whole and in order; only one is held."""
+        now, rows = None, []
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                place = (r.history, r.key, r.piece)
+                if place != now:
+                    if rows:
+                        out.append(searched(now, rows))
+                    now, rows = place, []
+                rows.append((r.invoked, r.returned, r.op, r.value, r.outcome, r.result))
+            yield pd.DataFrame(out, columns=names)
+        if rows:
+            yield pd.DataFrame([searched(now, rows)], columns=names)
 
     def chain(state, row):
         values, verdict = state
@@ -157,7 +176,9 @@ def check_histories(ops: DataFrame, most: int = STATES) -> DataFrame:
     kinds = dict(ops.dtypes)
     value = "struct<free:boolean,need:string,same:boolean,end:string>"
     schema = f"history {kinds['history']}, key {kinds['key']}, piece long, known boolean, moves array<{value}>"
-    found = pieces(ops).groupBy("history", "key", "piece").applyInPandas(search, schema)
+    cut = pieces(ops).withColumn("returned", F.coalesce("returned", "invoked"))  # of an open one nobody asks
+    place = ["history", "key", "piece"]
+    found = cut.repartition(*place).sortWithinPartitions(*place, "invoked").mapInPandas(search, schema)
     steps = ordered_fold(found, ["history", "key"], ["piece"], lambda row: ({None}, "valid"), chain, "verdict string")
     rank = F.when(F.col("verdict") == "invalid", 2).when(F.col("verdict") == "inconclusive", 1).otherwise(0)
     worst = steps.groupBy("history").agg(F.max(rank).alias("rank"))

@@ -226,9 +226,9 @@ SCAN_SIZE, RECORD_SIZE, KEY_SIZE = "strlen(key::varchar) + strlen(value) + 16",
 RECORDS = f"(select * from {TTL} where expires_at_ms is not null)"
 
 
-@queries.add(f"select key, value from {TTL} where key = 33 and {SEEN}")
+@queries.add(f"select key, value from {TTL} where key = 17 and {SEEN}")
 def ttl_get(spark, d):
-    return ttl.get(_expiring(spark, d), 33, WATERMARK).select("key", "value")
+    return ttl.get(_expiring(spark, d), 17, WATERMARK).select("key", "value")
 
 
 @queries.add(f"select w.pos::bigint as pos, w.key::bigint as key, k.key is not null as found, k.value from {WANTED} left join (select * from {TTL} where {SEEN}) k on k.key = w.key")
