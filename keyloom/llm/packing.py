@@ -281,24 +281,13 @@ class Plan:
                 put(room, (first + full + bool(rest), bins - full - bool(rest)))
 
 
-def _assign(runs: np.ndarray, length_bits: int):
-    """Looks up sequence and offset of the r-th item of each length."""
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = (runs[:, 0] << length_bits) + runs[:, 1]
-        order = np.argsort(key)
-        key, table = key[order], runs[order]
-        for batch in batches:
-            length = np.asarray(batch.column("length")).astype(np.int64)
-            rank = np.asarray(batch.column("rank"))
-            run = table[np.searchsorted(key, (length << length_bits) + rank, side="right") - 1] if len(length) else np.zeros((0, 6), np.int64)
-            at = rank - run[:, 1]
-            each = np.maximum(run[:, 4], 1)
-            out = {name: batch.column(name) for name in batch.schema.names if name != "rank"}
-            out |= {"sequence_id": pa.array(run[:, 3] + at // each), "offset": pa.array(run[:, 5] + at % each * length)}
-            yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
-
-    return assign
+def _runs(plan: Plan, spark: SparkSession) -> DataFrame:
+    """(length, first, next, sequence, each, at): where the pieces of a length from rank first up to next go."""
+    runs = np.array(sorted(map(tuple, plan.runs)), np.int64).reshape(-1, 6)
+    same = np.append(runs[1:, 0] == runs[:-1, 0], False)[: len(runs)]
+    after = np.where(same, np.append(runs[1:, 1], 0)[: len(runs)], (1 << 63) - 1)
+    table = pa.table({"of_length": runs[:, 0], "run_first": runs[:, 1], "run_next": after, "run_sequence": runs[:, 3], "run_each": np.maximum(runs[:, 4], 1), "run_at": runs[:, 5]})
+    return spark.createDataFrame(table)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -325,10 +314,12 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     ranked = salted.withColumn("rank", F.row_number().over(in_group) - 1)
     # a row for PER_GROUP pieces, and one a length
     ranked = ranked.join(F.broadcast(starts), ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("first"))
-    thin = ranked.select(*pieces.columns, "rank")
-    runs = np.array(plan.runs, np.int64).reshape(-1, 6)
-    schema = ", ".join(f"`{n}` {t}" for n, t in pieces.dtypes)
-    return thin.mapInArrow(_assign(runs, 48), schema + ", sequence_id long, offset long")
+    # what the plan says is joined, not looked up in Python, as pieces may carry their ids
+    there = (F.col("length") == F.col("of_length")) & (F.col("rank") >= F.col("run_first")) & (F.col("rank") < F.col("run_next"))
+    met = ranked.join(F.broadcast(_runs(plan, pieces.sparkSession)), there).withColumn("nth", F.col("rank") - F.col("run_first"))
+    sequence = F.col("run_sequence") + F.expr("nth div run_each")
+    offset = F.col("run_at") + F.col("nth") % F.col("run_each") * F.col("length")
+    return met.select(*pieces.columns, sequence.cast("long").alias("sequence_id"), offset.cast("long").alias("offset"))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, keep_ids: bool = True) -> DataFrame:
