@@ -100,7 +100,7 @@ def framed(key: Column, value: Column) -> Column:
 def range_digest(kv: DataFrame, by: list[str], page: int = PAGE) -> DataFrame:
     """(by, n, digest) of each range's rows (key, value): SHA-256 over framed rows in key order.
 
-    A page of `page` neighbouring rows is hashed as the reference frames them; pages are
+    A page of `page` neighbouring rows is hashed, each row with its lengths before it; pages are
     hashed in turn by books of so many pages, books by shelves, and a range's shelves make
     its digest.  No task sees a whole range, and two copies agree however they are stored.
     """
