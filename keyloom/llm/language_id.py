@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import documents, record_schema
+from keyloom.llm.common import documents, record_schema, recorded, texts_of, thin_batches
 
 HIDDEN = 8
 SEGMENT = 128  # bytes over which the network's state runs before it starts anew
@@ -211,11 +211,11 @@ def reject_below(network: Network | None) -> float:
 
 def _label(network: Network | None):
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in thin_batches(batches):
             lang, score = [UNDETERMINED] * len(batch), np.zeros(len(batch))
             letters = np.asarray(batch.column("letters").to_numpy(zero_copy_only=False), bool)
             rows = np.flatnonzero(letters).tolist() if network else []
-            data = batch.column("data")
+            data = texts_of(batch)
             for at in range(0, len(rows), 256):
                 some = rows[at : at + 256]
                 p = network.pool([data[k].as_buffer().to_pybytes() for k in some])
@@ -236,9 +236,8 @@ def identify(docs: DataFrame, network: Network | None, carry: list[str] | None =
     learned.  Repeated rows get the same answer; an empty table gives no rows.  carry
     names the columns to keep in record, where they cannot clash with these.
     """
-    columns = docs.columns if carry is None else carry
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("record"), letters, F.col("text").cast("binary").alias("data"))
+    rows = recorded(docs, carry, letters)
     return rows.mapInArrow(_label(network), record_schema(rows, "lang_pred string, score double"))
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
-from keyloom.llm.common import documents, written
+from keyloom.llm.common import documents, thin_batches, written
 
 CAPACITY = 2048
 END_ID = 0
@@ -107,7 +107,7 @@ def _cut(path: str, capacity: int, end_id: int, keep_ids: bool):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path)
         end = np.array([end_id], "<u4").tobytes()
-        for part in (b.slice(at, CUT_AT_ONCE) for b in batches for at in range(0, len(b), CUT_AT_ONCE)):
+        for part in thin_batches(batches, CUT_AT_ONCE):
             texts = [x.as_py() or "" for x in part.column(1)]
             rows: list[tuple] = []
             for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(texts)):

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import documents, record_schema
+from keyloom.llm.common import documents, record_schema, recorded, texts_of, thin_batches
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
@@ -172,9 +172,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, seed: int
 def _score(model: Model, keep_at: float):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-        for batch in batches:
+        for batch in thin_batches(batches):
             stats, probability = [], []
-            for x in batch.column("data"):
+            for x in texts_of(batch):
                 data = x.as_buffer().to_pybytes() if x.is_valid else b""
                 stats.append(text_statistics(data))
                 probability.append(float(model.probability(gram_counts(data))))
@@ -196,8 +196,7 @@ def judge_quality(docs: DataFrame, model: Model, keep_at: float = KEEP_AT, carry
     empty table gives no rows.  carry names the columns to keep in record (all by
     default); inside it they cannot clash with the operator's own.
     """
-    columns = docs.columns if carry is None else carry
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("record"), F.col("text").cast("binary").alias("data"))
+    rows = recorded(docs, carry)
     kinds = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, probability double"
     return rows.mapInArrow(_score(model, keep_at), record_schema(rows, kinds))
 

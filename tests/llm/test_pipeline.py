@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+
 import corpus_pipeline as C
 from keyloom.llm import language_id, packing, pii, quality, simhash
 from keyloom.llm.common import documents, written
@@ -85,3 +88,22 @@ def test_packing_returns_the_ids(spark):
     for r in sorted(rows, key=lambda r: (r.doc_id, r.start)):
         got.setdefault(r.doc_id, []).extend(r.ids)
     assert got == {k: [x for ids in v for x in ids.tolist()] for k, v in want.items()}
+
+
+def test_texts_go_to_python_once_and_come_back_in_small_batches(spark):
+    docs = spark.createDataFrame([(k, f"some words {k}" if k % 7 else None) for k in range(3000)], "doc_id long, text string")
+    network = language_id.Network(["de", "en"], seed=2)
+    model = quality.Model(np.zeros(quality.WORD_BUCKETS + quality.CHAR_BUCKETS), 0.0, 1.0, 1.0)
+    for found in (language_id.identify(docs, network), quality.judge_quality(docs, model)):
+        sent = found._jdf.queryExecution().analyzed().children().apply(0).schema().simpleString()
+        assert sent.count("text:string") + sent.count("binary") == 1
+        assert sorted((r.record.doc_id, r.record.text) for r in found.collect()) == sorted((r.doc_id, r.text) for r in docs.collect())
+    texts = [f"some words {k}" if k % 7 else None for k in range(3000)]
+    record = pa.StructArray.from_arrays([pa.array(range(3000)), pa.array(texts)], ["doc_id", "text"])
+    whole = pa.RecordBatch.from_arrays([record, pa.array([t is not None for t in texts])], ["record", "letters"])
+    parts = list(language_id._label(network)(iter([whole])))
+    assert pa.Table.from_batches(parts).column("record").to_pylist() == record.to_pylist()
+    assert max(map(len, parts)) < 1000
+    one = network.pool([(t or "").encode() for t in texts]).max(axis=1)
+    got = pa.Table.from_batches(parts).column("score").to_numpy()
+    assert all(abs(a - b) < 1e-5 if t else a == 0 for a, b, t in zip(got, one, texts))
