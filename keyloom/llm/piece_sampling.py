@@ -74,7 +74,11 @@ class Pieces:
         order = np.argsort(hashes)
         self.hashes, self.ids = hashes[order], np.array(plain, np.int32)[order]
         self.maybe = np.zeros(1 << 20, bool)  # most substrings are no piece, and this tells at once
-        self.maybe[self._slot(hashes)] = True
+        slots = self._slot(self.hashes)
+        self.maybe[slots] = True
+        self.at_slot = np.zeros(1 << 20, np.int32)
+        self.at_slot[slots] = np.arange(len(slots))
+        self.crowded = np.bincount(slots.astype(np.int64), minlength=1 << 20) > 1  # slots of several pieces
         self.weight = np.full(n + 1, -np.inf, np.float32)
         self.weight[plain] = weights
         self.written = [b""] * n
@@ -99,9 +103,13 @@ class Pieces:
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places, ids) of those of the flat hashes that are pieces."""
-        at = np.flatnonzero(self.maybe[self._slot(hashes)])
-        near = np.minimum(np.searchsorted(self.hashes, hashes[at]), len(self.ids) - 1)
-        hit = self.hashes[near] == hashes[at]
+        slots = self._slot(hashes)
+        at = np.flatnonzero(self.maybe[slots])
+        slots, own = slots[at], hashes[at]
+        near = self.at_slot[slots]
+        several = np.flatnonzero(self.crowded[slots])
+        near[several] = np.minimum(np.searchsorted(self.hashes, own[several]), len(self.ids) - 1)
+        hit = self.hashes[near] == own
         return at[hit], self.ids[near[hit]]
 
     def decode(self, ids) -> bytes:
@@ -157,21 +165,22 @@ class Lattices:
             size = 1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF)
             weight[:, :, 0][lone] = size * np.float32(pieces.last)
             ids[:, :, 0][lone] = -2
-        rest = np.zeros((m, n + 1), np.float32)  # logarithm of all ways from here to the end
+        # logarithm of all ways from here to the end; arcs by chunks, so that steps run along the chunks
+        rest = np.zeros((n + 1, m), np.float32)
         for i in range(n - 1, -1, -1):
             k = min(most, n - i)
-            t = weight[:, i, :k] + rest[:, i + 1 : i + 1 + k]
-            top = t.max(axis=1, keepdims=True)
+            t = weight[:, i, :k].T + rest[i + 1 : i + 1 + k]
+            top = t.max(axis=0)
             t -= top
-            c = np.cumsum(np.exp(t), axis=1)
-            total = c[:, -1:].copy()
+            c = np.cumsum(np.exp(t), axis=0)
+            total = c[-1].copy()
             c /= total
             np.log(total, out=total)
-            rest[:, i] = top[:, 0] + total[:, 0]
+            rest[i] = top + total
             t -= total
-            weight[:, i, :k] = t
+            weight[:, i, :k] = t.T
             c[c >= 1 - 1e-7] = 1
-            cumulative[:, i, :k] = c
+            cumulative[:, i, :k] = c.T
 
 
 class Path:
@@ -285,9 +294,10 @@ class Sampler:
             self._run(lattices, uids, keys, jobs, turn, k, found, queues)
             jobs = []
             if turn + 1 < k:
+                draws = [_uniform(keys, U64(turn + 1), U64(1 << bit)).tolist() for bit in (41, 42)]
                 for d, queue in enumerate(queues):
                     if queue and not np.isneginf(queue[0][0]):
-                        jobs.append(self._branch(lattices, d, heapq.heappop(queue), keys[d], turn + 1, queue))
+                        jobs.append(self._branch(lattices, d, heapq.heappop(queue), draws[0][d], draws[1][d], turn + 1, queue))
         out = []
         for d, ways in enumerate(found):
             rest = -queues[d][0][0] if queues[d] else -np.inf
@@ -305,21 +315,19 @@ class Sampler:
             return 0.0
         return x - np.exp(x) / 2 if x < -12 else float(np.log(-np.expm1(-np.exp(x))))
 
-    def _branch(self, lattices: Lattices, d: int, node, key, turn: int, queue: list):
+    def _branch(self, lattices: Lattices, d: int, node, u: float, v: float, turn: int, queue: list):
         """The best of a node's siblings becomes the next segmentation's arc."""
         top, _, path, at, left_out = -node[0], node[1], node[2], node[3], node[4]
         row = int(path.row[at])
         p = np.exp(lattices.log_p[row].astype(float))
         p[list(left_out)] = 0
         c = np.cumsum(p)
-        u = float(_uniform(np.array([key]), U64(turn), U64(1 << 41))[0])
         arc = int(min(np.searchsorted(c, u * c[-1], side="right"), np.flatnonzero(p)[-1]))
         before = float(path.log_p[:at].sum())
         p[arc] = 0
         after = p.sum()
         others = (*left_out, arc)
         if after > 0:
-            v = float(_uniform(np.array([key]), U64(turn), U64(1 << 42))[0])
             value = float(_below(np.array(before + np.log(after)), np.array(top), np.array(v)))
             heapq.heappush(queue, (-value, turn, path, at, others))
         log_p = float(lattices.log_p[row, arc])

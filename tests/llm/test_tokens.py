@@ -227,3 +227,20 @@ def test_shards_of_null_ids_and_of_nothing(spark, edges, nothing, edge_texts, tm
         kept = [(k, p) for r in T.stored(spark, path).collect() for k, p in zip(r.doc_ids, r.parts)]
         assert sum(p == 0 for _, p in kept) == n == sum(r.ids[-1] == T.END_ID for r in T.read_from(spark, path, 0).collect())
         assert sum(k is None for k, _ in kept) == (2 if n else 0)
+
+
+def test_draws_are_made_for_all_texts_at_once(monkeypatch):
+    from keyloom.llm import piece_sampling
+
+    sampler = piece_sampling._sampler(piece_sampling.MODEL)
+    places, ids = sampler.pieces.find(sampler.pieces.hashes)
+    assert places.tolist() == list(range(len(sampler.pieces.ids))) and (ids == sampler.pieces.ids).all()
+    made, uniform = [], piece_sampling._uniform
+    monkeypatch.setattr(piece_sampling, "_uniform", lambda *parts: made.append(1) or uniform(*parts))
+    calls = []
+    for n in (5, 100):
+        made.clear()
+        ways = sampler.sample(["some words and a few more"] * n, np.arange(n, dtype=np.uint64) + np.uint64(9), 2)
+        assert all(len(w) == 2 for w in ways)
+        calls.append(len(made))
+    assert calls[1] < calls[0] + 50
