@@ -6,6 +6,9 @@ quality is labelled, the base rules alone decide.  A null id is kept like any ot
 stays alone in the near-duplicate stage; of rows with equal id and text one stays.  Very
 long texts are read whole, and packing cuts them into pieces.  Other columns, whatever
 their names, come through unchanged up to the last stage.  An empty table gives no rows.
+
+The stages lower the session's spark.sql.execution.arrow.maxBytesPerBatch to 1 MB: they hold
+whole texts, in the JVM and in Python, on executors that may have 3 GB for two cores.
 """
 
 from __future__ import annotations
@@ -14,11 +17,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.llm import language_id, packing, pii, quality, simhash
-from keyloom.llm.common import discard, documents, written
+from keyloom.llm.common import discard, documents, small_batches, written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a letter or without a likely language."""
+    small_batches(spark)
     network = language_id.train(docs)
     if network is None:
         return docs.where(F.col("text").rlike(r"\p{L}"))
@@ -29,12 +33,14 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that the quality rules or the quality model reject."""
+    small_batches(spark)
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.judge_quality(docs, model).where("kept").select("record.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of each SimHash group."""
+    small_batches(spark)
     return simhash.keep_one(docs)
 
 
@@ -49,6 +55,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack the texts' tokens into sequences of 2048; each piece holds its ids."""
+    small_batches(spark)
     return packing.pack_documents(docs).withColumn("length", F.col("length").cast("long"))
 
 

@@ -13,7 +13,7 @@ from keyloom.llm.common import documents, record_schema, recorded, texts_of, thi
 
 HIDDEN = 8
 SEGMENT = 128  # bytes over which the network's state runs before it starts anew
-BATCH = 2048  # segments stepped together
+BATCH = 512  # segments stepped together: few, as two networks' states of every byte are held
 PAD = 256
 UNDETERMINED = "und"
 #: The training sample: about so many documents a language, and pieces of so many bytes of each.

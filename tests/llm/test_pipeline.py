@@ -107,3 +107,28 @@ def test_texts_go_to_python_once_and_come_back_in_small_batches(spark):
     one = network.pool([(t or "").encode() for t in texts]).max(axis=1)
     got = pa.Table.from_batches(parts).column("score").to_numpy()
     assert all(abs(a - b) < 1e-5 if t else a == 0 for a, b, t in zip(got, one, texts))
+
+
+def test_stages_send_python_few_bytes_at_once(spark):
+    """A batch is held by the executor's JVM and by Python, for each core, so 10,000 texts are too many."""
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["size"])
+
+    texts = spark.range(0, 3000, 1, 1).selectExpr("id as doc_id", "repeat('some words ', 200) as text", "'en' as lang", "2200L as n_chars")
+    few = texts.limit(20)
+    try:
+        for name, stage in C.STAGES:
+            if name in ("quality_rules", "pii"):  # the one needs labels, the other no Python
+                continue
+            spark.conf.unset(limit)
+            stage(spark, few, "").schema
+            sent = [r["size"] for r in texts.mapInArrow(sizes, "size long").collect()]
+            assert sum(sent) > 6_000_000 and max(sent) < 1_500_000, name
+        spark.conf.set(limit, "65536")
+        C.drop_near_duplicates(spark, few, "")
+        assert spark.conf.get(limit).removesuffix("b") == "65536"
+    finally:
+        spark.conf.unset(limit)
