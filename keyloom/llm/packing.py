@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -9,7 +10,6 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -21,38 +21,53 @@ CAPACITY = 2048
 END_ID = 0
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 PER_GROUP = 1 << 20  # pieces that are put in order at once
-#: Encoded words that a Python worker keeps between batches, and texts that it cuts at once.
-CACHED_WORDS = 120_000
+#: Encoded words after which a Python worker lets go of those that did not come again (it
+#: keeps up to twice as many), and texts that it cuts at once.
+CACHED_WORDS = 160_000
 CUT_AT_ONCE = 512
 #: Fixed values of the tokenizer: how it divides a word, and how its model writes bytes
 #: that are not printable ASCII.
-WORD_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+LETTERS, DIGITS = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾"  # of Latin-1, lower case
+WORD_PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{DIGITS}]|[^{LETTERS}{DIGITS}]+")
 PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_LETTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in PRINTED)}
-ODD = regex.compile("[\x1c-\x1f\x85]")
+#: What is neither printable Latin-1 nor plain white space; where Python and the tokenizer disagree about that.
+UNUSUAL = re.compile("[^ -~\t-\r\xa0-¬®-ÿ]")
+ODD = re.compile("[\x1c-\x1f\x85]")
 
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
 IDS = ", ids array<int>"
 
 
 class Learned(dict):
-    """A dictionary that works out what it does not hold yet."""
+    """A dictionary that works out what it does not hold yet, and keeps what comes again."""
 
     def __init__(self, learn) -> None:
         self.learn = learn
+        self.before: dict[str, bytes] = {}
 
     def __missing__(self, key: str) -> bytes:
-        value = self[key] = self.learn(key)
+        value = self.before.pop(key, None)
+        if value is None:
+            value = self.learn(key)
+        self[key] = value
         return value
 
+    def limit(self, most: int) -> None:
+        """Beyond most, let go of what was not asked for since the last time."""
+        if len(self) > most:
+            self.before = dict(self)
+            self.clear()
+
 
 class WordEncoder:
     """Token ids of whole texts, word by word.
 
     The tokenizer drops white space and never joins what white space divides, so that
     the ids of a text are those of its words in turn; words that come again are not
-    encoded again.  Words of Latin-1 letters, where lower-casing and normal form are
-    plain, go straight to the tokenizer's model; all others, and texts with a control
+    encoded again.  Words of printable Latin-1, where lower-casing and normal form are
+    plain, are lower-cased at once for a whole text, and their parts go straight to the
+    tokenizer's model; all other words, and texts with a special token or a control
     character on which Python and the tokenizer disagree about white space, take the
     tokenizer's whole way.
     """
@@ -62,7 +77,6 @@ class WordEncoder:
         self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words = Learned(self._word)
-        self.parts = Learned(self._part)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -72,25 +86,23 @@ class WordEncoder:
         return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(letters)])
 
     def _word(self, word: str) -> bytes:
-        if word.isascii() or max(word) <= "\xff":
-            if word.isalpha():
-                return self.parts[word.lower()]
-            if word[-1] in ".,!" and word[:-1].isalpha():
-                return self.parts[word[:-1].lower()] + self.parts[word[-1]]
-            if word.isprintable() and not any(t in word for t in self.special):
-                return b"".join(map(self.parts.__getitem__, WORD_PARTS.findall(word.lower())))
-        return self._whole(word)
+        """Ids of a word, which is in lower case if it is printable Latin-1."""
+        if UNUSUAL.search(word):
+            return self._whole(word)
+        parts = WORD_PARTS.findall(word)
+        return b"".join(map(self.words.__getitem__, parts)) if len(parts) > 1 else self._part(word)
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """For each text its ids as little-endian unsigned 32-bit numbers."""
         for text in texts:
-            if ODD.search(text):
+            if ODD.search(text) or any(t in text for t in self.special):
                 yield self._whole(text)
                 continue
-            for cache in (self.words, self.parts):
-                if len(cache) > CACHED_WORDS:
-                    cache.clear()
-            words = text.split()
+            self.words.limit(CACHED_WORDS)
+            if UNUSUAL.search(text):
+                words = [w if UNUSUAL.search(w) else w.lower() for w in text.split()]
+            else:
+                words = text.lower().split()
             yield b"".join(map(self.words.__getitem__, words))
 
 

@@ -116,3 +116,34 @@ def test_words_apart_give_the_same_ids():
     odd = ["a\x1cb", "naïve CAFÉ", "<|endoftext|> x<|startoftext|>y", "été ΟΔΟΣ İstanbul", "日本語 12345 ½ ²", "it's we'll 'sabc don't''ve", "a\u00a0b\u2003c\u3000d", "\u00ad soft\u00adhy", "µ ª º ß ÿ", "\x00\x01 a\x7fb", "🎉🎉x", "e\u0301 cafe\u0301", "'Re 'VE x.. y,! .", "\x85"]
     for text in odd + [" ".join(p) for p in combinations(odd, 2)]:
         assert np.frombuffer(next(encoder.encode([text])), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_words_that_come_again_are_encoded_once(monkeypatch):
+    """However many new words come between; a cache that was emptied at its limit encoded them again and again."""
+    monkeypatch.setattr(P, "CACHED_WORDS", 100)
+    encoder, t, asked = P.WordEncoder(P.TOKENIZER), Tokenizer.from_file(P.TOKENIZER), []
+
+    class Counted:
+        model = encoder.model
+
+        def tokenize(self, part):
+            asked.append(part)
+            return self.model.tokenize(part)
+
+    encoder.model = Counted()
+    often = ["The", "the", "THE,", "été.", "don't", "x-ray"]
+    texts = [" ".join(often + [f"w{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + n)}" for n in range(20)]) for k in range(400)]
+    for text, ids in zip(texts, encoder.encode(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+        assert len(encoder.words) + len(getattr(encoder.words, "before", ())) <= 2 * 100 + 2 * len(text.split())
+    for part in ["the", ",", "don", "'t", "x", "-", "ray"]:
+        assert asked.count(part) == 1
+
+
+def test_every_latin_character_in_words():
+    encoder, t, rng = P.WordEncoder(P.TOKENIZER), Tokenizer.from_file(P.TOKENIZER), np.random.default_rng(5)
+    latin = [chr(k) for k in range(256)]
+    texts = [a + c + b for c in latin for a, b in (("", ""), ("A", "é"), ("9 ", "'"), ("<|STARTOFTEXT|>", "<|endoftext|>"), ("Ω", " Σ"))]
+    texts += ["".join(rng.choice([c for c in latin if c.isprintable()] + [" ", "'", "\n", "\xa0"] * 20 + ["'ll", "<|endoftext|", "<|startoftext|>", "ΟΔΟΣ"], 60)) for _ in range(300)]
+    for text, ids in zip(texts, encoder.encode(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text
